@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 from textloom.llm.common import UPPER, table
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.line_dedup import MIN_SITES, line_dedup
+from textloom.llm.secret_scan import digest, scan
+from textloom.llm.simhash import simhash_components
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_removed", "text")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES = {

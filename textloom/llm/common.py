@@ -41,16 +41,15 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
-def running_totals(df: DataFrame, keys: list[str], position: str, values: dict[str, str], width: int) -> DataFrame:
-    """Add, for each `values` entry total -> column, the exclusive running sum over `position` within `keys`.
+def running_totals(df: DataFrame, keys: list[str], stretch: Column, order: list[str], values: dict[str, str]) -> DataFrame:
+    """Add, for each `values` entry total -> column, the exclusive running sum within `keys`.
 
-    Positions are cut into stretches of `width`. A window runs inside each
+    Rows are ordered by `stretch`, then by `order`. A window runs inside each
     stretch and a second one over the stretches' sums, so that no task gets all
-    rows of a key. `position` must be a non-negative integer, unique within
-    `keys`; null values count as zero.
+    rows of a key. Null values count as zero.
     """
-    stretched = df.withColumn("_stretch", F.floor(F.col(position) / width).cast("long"))
-    sums = stretched.groupBy(*keys, "_stretch").agg(*[F.sum(c).alias(f"_sum_{t}") for t, c in values.items()])
+    cut = df.withColumn("_stretch", stretch.cast("long"))
+    sums = cut.groupBy(*keys, "_stretch").agg(*[F.sum(c).alias(f"_sum_{t}") for t, c in values.items()])
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
         *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
@@ -60,9 +59,6 @@ def running_totals(df: DataFrame, keys: list[str], position: str, values: dict[s
     same = F.col("_stretch") == F.col("_key_stretch")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
-    inside = Window.partitionBy(*keys, "_stretch").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    out = stretched
-    for t, c in values.items():
-        out = out.withColumn(f"_in_{t}", F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    out = out.join(sums, same)
-    return out.select(*df.columns, *[(F.col(f"_in_{t}") + F.col(f"_base_{t}")).alias(t) for t in values])
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{t}") for t, c in values.items()])
+    return cut.join(sums, same).select(*df.columns, *[(F.col(f"_in_{t}") + F.col(f"_base_{t}")).alias(t) for t in values])

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import UPPER, table
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.html_extraction import extract
+from textloom.llm.language_id import identify
 from textloom.llm.line_dedup import MIN_SITES, line_dedup
+from textloom.llm.packing import best_fit
 from textloom.llm.secret_scan import digest, scan
 from textloom.llm.simhash import simhash_components
+from textloom.llm.source_mixing import mix
+from textloom.llm.token_counts import length_histogram, token_counts
+from textloom.llm.vector_search import nearest
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +34,42 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs).select("doc_id", "source", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), "block", "slot", "offset")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(token_counts(table(spark, sf_dir, "documents")))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_vector_search": op5_vector_search,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_token_counts": op9_token_counts,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES = {

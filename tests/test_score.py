@@ -1,0 +1,166 @@
+"""Scoring: goldens, and a plain recursive scorer over made-up samples."""
+
+import json
+import random
+
+import pytest
+
+from textloom.functions.json import last_key_wins
+from textloom.operators.metrics import quality_summary
+from textloom.operators.score import COUNTS, score
+
+SCHEMA = "case_id string, repetition int, tier string, identity_fields array<string>, allow_additional_fields boolean, expected string, actual string, schema_valid boolean"
+
+
+def scored(spark, samples):
+    last_key_wins(spark)
+    rows = [(f"c{i}", 1, "conformance", ids, more, e, a, valid) for i, (e, a, ids, more, valid) in enumerate(samples)]
+    scores, differences = score(spark.createDataFrame(rows, SCHEMA))
+    found = {}
+    for r in differences.collect():
+        found.setdefault(r["case_id"], []).append(r["kind"])
+    return [(r.asDict(), sorted(found.get(r["case_id"], []))) for r in sorted(scores.collect(), key=lambda r: int(r["case_id"][1:]))]
+
+
+def dump(x):
+    return json.dumps(x, sort_keys=True)
+
+
+class Plain:
+    """One sample, scored by walking both values."""
+
+    def __init__(self, expected, actual, ids, more, valid):
+        self.n, self.kinds, self.more = dict.fromkeys(COUNTS, 0), [], more
+        self.json_valid, self.order, self.schema_valid = False, False, False
+        try:
+            e = json.loads(expected, parse_int=float)
+        except (ValueError, TypeError):
+            return self.kinds.append("invalid_expected")
+        try:
+            a = json.loads(actual, parse_int=float)
+        except (ValueError, TypeError):
+            return self.kinds.append("invalid_json")
+        self.json_valid, self.schema_valid = True, valid
+        if not valid:
+            self.kinds.append("schema_validation")
+        if isinstance(e, list) != isinstance(a, list):
+            return self.kinds.append("type")
+        if not isinstance(e, list):
+            self.n |= dict.fromkeys(("expected_records", "actual_records", "matched_records"), 1)
+            self.order = True
+            return self.compare(e, a)
+        self.n["expected_records"], self.n["actual_records"] = len(e), len(a)
+        keys = [[dump([r[f] for f in ids]) if isinstance(r, dict) and all(f in r for f in ids) else None for r in side] for side in (e, a)] if ids else None
+        by_id = ids and all(None not in k and len(set(k)) == len(k) for k in keys)
+        if ids and not by_id:
+            self.kinds.append("identity")
+        if by_id:
+            left, right = dict(zip(keys[0], e, strict=True)), dict(zip(keys[1], a, strict=True))
+            self.order = keys[0] == keys[1]
+            if not self.order:
+                self.kinds.append("order")
+        else:
+            left, right = dict(enumerate(e)), dict(enumerate(a))
+        for k in left:
+            if k in right:
+                self.n["matched_records"] += 1
+                self.compare(left[k], right[k])
+            else:
+                self.n["missing_records"] += 1
+                self.kinds.append("missing_record")
+        for k in right:
+            if k not in left:
+                self.n["extra_records"] += 1
+                self.kinds.append("extra_record")
+        if not by_id:
+            self.order = not self.kinds
+        return None
+
+    def note(self, kind, count):
+        self.kinds.append(kind)
+        self.n[count] += 1
+
+    def compare(self, e, a):
+        if isinstance(e, dict):
+            if not isinstance(a, dict):
+                return self.note("type", "incorrect_fields")
+            for k in e:
+                self.n["expected_fields"] += 1
+                if k not in a:
+                    self.note("missing_field", "missing_fields")
+                    continue
+                before = len(self.kinds)
+                self.compare(e[k], a[k])
+                self.n["correct_fields"] += len(self.kinds) == before
+            for k in a:
+                if k not in e and not self.more:
+                    self.note("unexpected_field", "unexpected_fields")
+        elif dump(e) != dump(a):
+            self.note("value", "incorrect_fields")
+        return None
+
+    def result(self):
+        bad = sum(self.n[c] for c in ("missing_records", "extra_records", "incorrect_fields", "missing_fields", "unexpected_fields"))
+        return {**self.n, "json_valid": self.json_valid, "schema_valid": self.schema_valid, "order_correct": self.order, "exact_match": self.schema_valid and not bad and self.order}, sorted(self.kinds)
+
+
+def test_goldens(spark):
+    people = '[{"id":"a","name":"Alice"},{"id":"b","name":"Bob"}]'
+    samples = [
+        (people, people, ["id"], False, True),
+        ('[{"id":"a","age":30},{"id":"b","age":25}]', '[{"id":"b","age":25},{"id":"a","age":"30"},{"id":"c","age":40}]', ["id"], False, False),
+        ('{"name":"Alice","age":30}', '{"name":"Alice"}', [], False, False),
+        ('{"a":{"x":1,"y":2},"b":3}', '{"a":{"x":1,"y":9},"b":3.0,"c":0}', [], False, True),
+        (people, "nonsense", ["id"], False, False), (people, None, ["id"], False, False), (people, "{}", [], False, True),
+    ]
+    same, perturbed, short, nested, broken, none, kind = (s for s, _ in scored(spark, samples))
+    assert same["exact_match"] and same["order_correct"] and same["matched_records"] == 2
+    assert not perturbed["exact_match"] and not perturbed["order_correct"] and perturbed["extra_records"] == 1 and perturbed["missing_records"] == 0 and perturbed["incorrect_fields"] == 1
+    assert short["missing_fields"] == 1 and not short["schema_valid"] and not short["exact_match"]
+    assert [nested[c] for c in ("expected_fields", "correct_fields", "incorrect_fields", "unexpected_fields")] == [4, 2, 1, 1]
+    for x in (broken, none):
+        assert not x["json_valid"] and not x["schema_valid"] and all(x[c] == 0 for c in COUNTS)
+    assert kind["json_valid"] and not kind["order_correct"] and all(kind[c] == 0 for c in COUNTS)
+
+
+def test_made_up_samples(spark):
+    rng = random.Random(17)
+
+    def value(depth):
+        if depth == 0 or rng.random() < 0.5:
+            return rng.choice([1, 2, 1.0, "1", None, True, [], [1], "a.b"])
+        return {k: value(depth - 1) for k in rng.sample(["a", "b", "c.d", "é"], rng.randrange(0, 4))}
+
+    def record():
+        return {"id": rng.choice([1, 1.0, 2, 3, "x"]), **({"k": rng.choice("pq")} if rng.random() < 0.9 else {}), "v": value(2)} if rng.random() < 0.95 else value(1)
+
+    samples = []
+    for _ in range(150):
+        e = [record() for _ in range(rng.randrange(0, 4))] if rng.random() < 0.7 else value(3)
+        a = json.loads(json.dumps(e))
+        if rng.random() < 0.7:
+            if isinstance(a, list):
+                rng.shuffle(a)
+                a = a[: rng.randrange(0, 5)] + [record() for _ in range(rng.randrange(0, 2))]
+            else:
+                a = value(3)
+        samples.append((json.dumps(e), rng.choice([json.dumps(a)] * 9 + ["{"]), rng.choice([[], ["id"], ["id", "k"]]), rng.random() < 0.3, rng.random() < 0.8))
+    for (got, kinds), sample in zip(scored(spark, samples), samples, strict=True):
+        want, want_kinds = Plain(*sample).result()
+        assert {k: got[k] for k in want} == want, sample
+        assert kinds == want_kinds, sample
+
+
+def test_score_of_itself_is_exact(spark):
+    records = [{"id": i, "v": {"x": [i], "y": None}} for i in range(20)]
+    ((s, kinds),) = scored(spark, [(json.dumps(records), json.dumps(records), ["id"], False, True)])
+    assert s["exact_match"] and not kinds
+
+
+def test_summary(spark):
+    cols = ["exact_match", "json_valid", "schema_valid", "order_correct"]
+    df = spark.createDataFrame([(True, True, True, True, *[2, 2, 2, 0, 0, 4, 4, 0, 0, 0]), (False, True, False, False, *[2, 1, 1, 1, 0, 4, 1, 1, 2, 1])], ", ".join([f"{c} boolean" for c in cols] + [f"{c} long" for c in COUNTS]))
+    r = quality_summary(df).first()
+    assert (r["samples"], r["exact_matches"], r["record_recall"], r["record_precision"], r["field_accuracy"], r["unexpected_field_rate"], r["json_valid_rate"]) == (2, 1, 0.75, 1.0, 0.625, 0.125, 1.0)
+    nothing = quality_summary(df.limit(0)).first()
+    assert nothing["samples"] == 0 and nothing["record_recall"] == pytest.approx(0) and nothing["schema_valid_rate"] == 0

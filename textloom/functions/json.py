@@ -34,6 +34,15 @@ def strict_json(text: Column) -> Column:
     return F.when((F.size(in_array) == 1) & in_object.isNotNull() & ~overflow, value)
 
 
+def with_json(df: DataFrame, text: str, name: str) -> DataFrame:
+    """`df` with the VARIANT of column `text`, parsed once for each row however often it is used.
+
+    Spark would repeat the parser in every expression and filter that uses its
+    result; it doesn't move a generator.
+    """
+    return df.select("*", F.explode(F.array(strict_json(F.col(text)))).alias(name))
+
+
 def kind(value: Column) -> Column:
     """The JSON type of a VARIANT: object, array, string, boolean, null or number; SQL null stays null."""
     name = F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)

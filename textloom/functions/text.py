@@ -56,8 +56,8 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as text: whole bytes below 1024, else one decimal in steps of 1024 up to TB."""
+    """Bytes as text: whole bytes below 1024, else one decimal, halves to even, in steps of 1024 up to TB."""
     out = F.format_string("%d B", size.cast("long"))
     for i, unit in enumerate(SIZE_UNITS[1:], 1):
-        out = F.when(size >= 1024**i, F.format_string(f"%.1f {unit}", size.cast("double") / float(1024**i))).otherwise(out)
+        out = F.when(size >= 1024**i, F.format_string(f"%.1f {unit}", F.rint(size.cast("double") * 10 / float(1024**i)) / 10)).otherwise(out)
     return out

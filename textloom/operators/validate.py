@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.json import elements, kind, member, members, strict_json
+from textloom.functions.json import elements, kind, member, members, with_json
 
 TYPES = ("object", "array", "string", "number", "integer", "boolean", "null")
 #: Keywords that say nothing about validity.
@@ -221,7 +221,7 @@ def validate(df: DataFrame, text: str, schema: object) -> DataFrame:
     error is `invalid JSON` for a null text or one that isn't one JSON value, the
     violations' message for one that the schema refuses, else null.
     """
-    parsed = df.withColumn("value", strict_json(F.col(text)))
+    parsed = with_json(df, text, "value")
     found = F.when(F.col("value").isNotNull(), violations(F.col("value"), schema))
     checked = parsed.withColumn("violations", found)
     return checked.withColumn("error", F.when(F.col("value").isNull(), F.lit("invalid JSON")).otherwise(message(F.col("violations"))))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.json import add_canonical, elements, kind, last_key_wins, strict_json
+from textloom.functions.json import add_canonical, elements, kind, last_key_wins, strict_json, with_json
 from textloom.functions.storage import materialize
 from textloom.functions.text import n_bytes, trim_space
 from textloom.model import Config, Request, byte_budget
@@ -109,8 +109,7 @@ class Engine:
         level, depth, found = chunks.select("source_index", "chunk_in_source", F.lit("").alias("path"), "text"), 0, None
         while True:
             run = self.extractor.run(level, request, self.config, prepared)
-            value = strict_json(F.col("raw"))
-            run = run.withColumn("depth", F.lit(depth)).withColumn("_value", F.when(F.col("failure").isNull(), value))
+            run = with_json(run.withColumn("depth", F.lit(depth)), "raw", "_value")
             half = halves(F.col("text"), request.delimiter)
             overflow = (F.col("failure") == "too_long") | (F.col("failure").isNull() & F.col("_value").isNull() & F.col("hit_limit"))
             split = F.coalesce(overflow, F.lit(False)) & half.isNotNull() if prepared.is_array else F.lit(False)
@@ -177,6 +176,6 @@ def extract_groups(groups: DataFrame, extractor: Extractor, request: Request, co
         raise ValueError("the schema's root is an array")
     engine = Engine(extractor, config)
     chunks = groups.select("source_index", F.lit(0).alias("chunk_in_source"), F.lit("").alias("path"), trim_space(F.col("content")).alias("text")).filter("text <> ''")
-    run = extractor.run(chunks, request, engine.config, prepared).withColumn("_value", strict_json(F.col("raw")))
+    run = with_json(extractor.run(chunks, request, engine.config, prepared), "raw", "_value")
     checked = run.withColumn("error", engine._problem(prepared))
     return checked.select("source_index", F.when(F.col("error").isNull(), F.col("_value")).alias("value"), "error")

@@ -46,7 +46,8 @@ def running_totals(df: DataFrame, keys: list[str], stretch: Column, order: list[
 
     Rows are ordered by `stretch`, then by `order`. A window runs inside each
     stretch and a second one over the stretches' sums, so that no task gets all
-    rows of a key. Null values count as zero.
+    rows of a key. Null values count as zero. `keys` must not be null: then the
+    join below finds the rows where the window has put them.
     """
     cut = df.withColumn("_stretch", stretch.cast("long"))
     sums = cut.groupBy(*keys, "_stretch").agg(*[F.sum(c).alias(f"_sum_{t}") for t, c in values.items()])
@@ -58,7 +59,7 @@ def running_totals(df: DataFrame, keys: list[str], stretch: Column, order: list[
     )
     same = F.col("_stretch") == F.col("_key_stretch")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+        same = same & (F.col(k) == F.col(f"_key_{i}"))
     inside = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{t}") for t, c in values.items()])
     return cut.join(sums, same).select(*df.columns, *[(F.col(f"_in_{t}") + F.col(f"_base_{t}")).alias(t) for t in values])

@@ -29,7 +29,7 @@ FRAME_SLOTS = 1024
 #: Bounds the plan on the driver: fewer than 2 x MAX_SOURCES spells of FRAME_SLOTS slots.
 MAX_SOURCES = 500
 #: Documents that one window task of the running sums gets, about.
-STRETCH_ROWS = 4096
+STRETCH_ROWS = 1024
 
 
 class Spell(NamedTuple):
@@ -120,8 +120,8 @@ def mix(documents: DataFrame, weights: dict | None = None, block_chars: int = BL
     kept = [c for c in documents.columns if c not in ("block", "slot", "offset")]
     rows = documents.select(*[F.col(c).alias(f"in_{c}") for c in kept]).withColumn("_chars", F.coalesce(F.char_length("in_text"), F.lit(0)))
     stretches = max(1, documents.count() // STRETCH_ROWS)
-    rows = rows.withColumn("_order", F.xxhash64("in_doc_id", "in_text"))
-    placed = running_totals(rows, ["in_source"], F.pmod("_order", F.lit(stretches)), ["_order", "in_doc_id"], {"_before": "_chars"})
+    rows = rows.withColumns({"_order": F.xxhash64("in_doc_id", "in_text"), "_named": F.col("in_source").isNotNull(), "_key": F.coalesce("in_source", F.lit(""))})
+    placed = running_totals(rows, ["_key", "_named"], F.pmod("_order", F.lit(stretches)), ["_order", "in_doc_id"], {"_before": "_chars"})
 
     masses = {r["in_source"]: r["n"] for r in rows.groupBy("in_source").agg(F.sum("_chars").alias("n")).limit(MAX_SOURCES + 1).collect()}
     blocks = {s: max(1, -(-n // block_chars)) for s, n in masses.items()}

@@ -114,7 +114,7 @@ def test_shares_round_by_less_than_one_slot():
 def test_mix_keeps_all_rows_and_places_blocks(spark, odd, empty, block_chars):
     for df in (odd, table(spark, SF, "documents")):
         got = source_mixing.mix(df, block_chars=block_chars)
-        assert got.columns == [*df.columns, "block", "slot", "offset"]
+        assert got.columns == [*df.columns, "chars", "block", "slot", "offset"]
         assert got.select(*df.columns).exceptAll(df).count() == 0 and got.count() == df.count()
         rows = got.collect()
         by_source = defaultdict(list)

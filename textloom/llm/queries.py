@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm.common import UPPER, table
 from textloom.llm.exact_dedup import exact_dedup
@@ -47,8 +46,7 @@ def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mix(docs).select("doc_id", "source", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), "block", "slot", "offset")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "chars", "block", "slot", "offset")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

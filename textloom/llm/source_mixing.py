@@ -107,7 +107,7 @@ def tempered(masses: dict, alpha: float = 0.5) -> dict:
 
 
 def mix(documents: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, frame: int = FRAME_SLOTS) -> DataFrame:
-    """`documents` with block, slot and offset: sorted by (slot, offset), sources are mixed to their weights.
+    """`documents` with chars, block, slot and offset: sorted by (slot, offset), sources are mixed to their weights.
 
     `weights` gives each source's target; by default sizes are tempered. A
     document belongs to the block in which its first character falls, block
@@ -115,9 +115,10 @@ def mix(documents: DataFrame, weights: dict | None = None, block_chars: int = BL
     the block. All rows stay. Null and empty texts take no room and share the slot
     of their neighbours; a null source is a source of its own; rows that repeat
     are placed one after another. An empty table gives no rows. Columns of the
-    input called block, slot or offset are replaced.
+    input called chars, block, slot or offset are replaced. chars is the text's
+    code points; a caller that needs no more of the text doesn't shuffle it.
     """
-    kept = [c for c in documents.columns if c not in ("block", "slot", "offset")]
+    kept = [c for c in documents.columns if c not in ("chars", "block", "slot", "offset")]
     rows = documents.select(*[F.col(c).alias(f"in_{c}") for c in kept]).withColumn("_chars", F.coalesce(F.char_length("in_text"), F.lit(0)))
     stretches = max(1, documents.count() // STRETCH_ROWS)
     rows = rows.withColumns({"_order": F.xxhash64("in_doc_id", "in_text"), "_named": F.col("in_source").isNotNull(), "_key": F.coalesce("in_source", F.lit(""))})
@@ -137,6 +138,7 @@ def mix(documents: DataFrame, weights: dict | None = None, block_chars: int = BL
     found = found.filter((F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
     return found.select(
         *[F.col(f"in_{c}").alias(c) for c in kept],
+        F.col("_chars").alias("chars"),
         "block",
         (F.col("base") + F.floor(at / F.size("slots")) * F.col("frame") + inside).alias("slot"),
         (F.col("_before") - F.col("block") * block_chars).alias("offset"),

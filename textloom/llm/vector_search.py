@@ -63,7 +63,8 @@ def _filed(rows: DataFrame, norm: float, dim: int, trees: int, extended: bool) -
                 columns = [batch.column("id"), pa.array(np.full(len(x), t, np.int32)), pa.array([k.tobytes() for k in keys[:, t]], pa.binary()), batch.column("vector")]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "tree", "key", "vector"])
 
-    return rows.select("id", "vector").mapInArrow(run, "id long, tree int, key binary, vector array<double>")
+    kind = rows.schema["vector"].dataType.simpleString()
+    return rows.select("id", "vector").mapInArrow(run, f"id long, tree int, key binary, vector {kind}")
 
 
 def _prefix(depth: int) -> Column:
@@ -185,7 +186,8 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = TR
     most frequent one and rows without vec_id. Of rows that repeat a vec_id the
     smallest vector counts. An empty table gives no rows; other columns are not read.
     """
-    vector = F.col("embedding").cast("array<double>")
+    # floats are passed on as floats, half as large, and compared as doubles
+    vector = F.col("embedding") if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), vector.alias("vector")).filter("id is not null and vector is not null")
     rows = rows.filter(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
@@ -194,7 +196,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, trees: int = TR
     common = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = common["dim"] if common else 1
     rows = rows.filter(F.size("vector") == dim)
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 0.0
+    norm = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 0.0
 
     copies = Window.partitionBy("vector").orderBy("id")
     first = rows.withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k + 1)

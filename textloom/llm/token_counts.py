@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import running_totals
+from textloom.llm.common import materialize, running_totals
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenizer expression of that vocabulary.
@@ -60,6 +60,8 @@ def length_histogram(counts: DataFrame) -> DataFrame:
     of documents with at most that length. An empty table gives no rows.
     """
     bars = counts.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("tokens", F.col("docs") * F.col("n_tokens"))
+    # read more than once below; the texts are encoded once
+    bars = materialize(bars)
     totals = bars.agg(F.sum("docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
     summed = running_totals(bars, [], F.floor(F.col("n_tokens") / STRETCH), ["n_tokens"], {"docs_below": "docs", "tokens_below": "tokens"})
     # totals is one row

@@ -32,18 +32,19 @@ def _first_names(docs: DataFrame, block_bytes: int, hash_bits: int) -> DataFrame
     binary = F.col("_text").cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("_text") / block_bytes)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("_bytes"), i * block_bytes + 1, F.lit(block_bytes)))
-    texts = docs.select("doc_id", "_text", binary.alias("_bytes"), n.alias("n"))
+    # hashed here, once a text and not once a block
+    texts = docs.select("doc_id", F.sha2("_text", 256).alias("text_sha256"), binary.alias("_bytes"), n.alias("n"))
     # most texts are one block, which needs no slicing
     pieces = F.when(F.col("n") == 1, F.array("_bytes")).otherwise(cut)
     hashed = F.xxhash64("block") if hash_bits == 64 else F.pmod(F.xxhash64("block"), F.lit(1 << hash_bits))
-    blocks = texts.select("doc_id", "_text", "n", F.posexplode(pieces).alias("pos", "block"))
+    blocks = texts.select("doc_id", "text_sha256", "n", F.posexplode(pieces).alias("pos", "block"))
 
     distinct = blocks.select(hashed.alias("h"), "block").groupBy("h").agg(F.array_sort(F.collect_set("block")).alias("same"))
     distinct = distinct.select("h", F.size("same").alias("n_same"), F.posexplode("same").alias("ordinal", "block"))
     distinct = distinct.select("h", "ordinal", F.when(F.col("n_same") > 1, F.col("block")).alias("clash"))
     names = _named(distinct, ["h", "ordinal"])
 
-    rows = blocks.select("doc_id", F.sha2("_text", 256).alias("text_sha256"), "pos", "n", hashed.alias("h"), "block")
+    rows = blocks.select("doc_id", "text_sha256", "pos", "n", hashed.alias("h"), "block")
     if names.filter("clash is not null").isEmpty():
         return rows.drop("block").join(names.select("h", "name"), "h").drop("h")
     right = names.withColumnRenamed("h", "h_named")

@@ -47,7 +47,8 @@ MORE_RULES = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("pay_key", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@"),
+    # only from a scheme's first character on, so that a long run of letters is read once
+    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 

@@ -116,3 +116,10 @@ def test_constraints_over_all_items(spark):
     assert keywords({"minItems": 4, "uniqueItems": True}) == {"minItems", "uniqueItems"}
     assert keywords({"minItems": 3, "maxItems": 3}) == set() and keywords({"maxItems": 2}) == {"maxItems"}
     assert items.filter(F.lit(False)).count() == 0
+
+
+def test_clashing_columns_are_replaced(spark):
+    rows = spark.createDataFrame([("[1]", 1.5, "x", "y"), ("{", None, None, None)], "j string, value double, violations string, error string")
+    got = validate(rows, "j", {"type": "object"}).select("j", F.to_json("value").alias("v"), "error")
+    assert got.dtypes == [("j", "string"), ("v", "string"), ("error", "string")]
+    assert sorted(map(tuple, got.collect())) == [("[1]", "[1]", "schema validation: (root): type"), ("{", None, "invalid JSON")]

@@ -219,9 +219,11 @@ def validate(df: DataFrame, text: str, schema: object) -> DataFrame:
     """`df` with value (the strictly parsed VARIANT of column `text`), violations and error.
 
     error is `invalid JSON` for a null text or one that isn't one JSON value, the
-    violations' message for one that the schema refuses, else null.
+    violations' message for one that the schema refuses, else null. Columns of `df`
+    called value, violations or error are replaced.
     """
-    parsed = with_json(df, text, "value")
+    kept = [c for c in df.columns if c not in ("value", "violations", "error")]
+    parsed = with_json(df, text, "_parsed").select(*kept, F.col("_parsed").alias("value"))
     found = F.when(F.col("value").isNotNull(), violations(F.col("value"), schema))
     checked = parsed.withColumn("violations", found)
     return checked.withColumn("error", F.when(F.col("value").isNull(), F.lit("invalid JSON")).otherwise(message(F.col("violations"))))

@@ -395,21 +395,22 @@ SIDES_SQL = f"""
 def scores_sql(on: str, order: str) -> str:
     return f"""
         WITH {SIDES_SQL},
-        p AS (SELECT coalesce(e.o_custkey, a.o_custkey) AS c, e.id AS eid, a.id AS aid, e.status AS es, a.status AS st
+        p AS (SELECT coalesce(e.o_custkey, a.o_custkey) AS c, e.id AS eid, a.id AS aid, e.pos AS ep, a.pos AS ap, e.status AS es, a.status AS st
               FROM e FULL OUTER JOIN a ON e.o_custkey = a.o_custkey AND {on}),
         s AS (SELECT c, count(eid) AS expected_records, count(aid) AS actual_records, count(*) FILTER (eid IS NOT NULL AND aid IS NOT NULL) AS matched_records,
                      count(*) FILTER (aid IS NULL) AS missing_records, count(*) FILTER (eid IS NULL) AS extra_records,
+                     coalesce(list(eid ORDER BY ep) FILTER (eid IS NOT NULL) = list(aid ORDER BY ap) FILTER (aid IS NOT NULL), FALSE) AS same_order,
                      2 * count(*) FILTER (eid IS NOT NULL AND aid IS NOT NULL) AS expected_fields,
                      count(*) FILTER (eid IS NOT NULL AND aid IS NOT NULL AND eid <> aid) + count(*) FILTER (eid IS NOT NULL AND aid IS NOT NULL AND es <> st) AS incorrect_fields
               FROM p GROUP BY c),
-        f AS (SELECT *, missing_records + extra_records{order} = 0 AS order_correct FROM s)
+        f AS (SELECT *, {order} AS order_correct FROM s)
         SELECT CAST(c AS VARCHAR) AS case_id, expected_records, actual_records, matched_records, missing_records, extra_records, expected_fields,
                expected_fields - incorrect_fields AS correct_fields, incorrect_fields, order_correct,
                order_correct AND missing_records + extra_records + incorrect_fields = 0 AS exact_match
         FROM f"""
 
 
-BY_IDENTITY_SQL, BY_POSITION_SQL = scores_sql("e.id = a.id", ""), scores_sql("e.pos = a.pos", " + incorrect_fields")
+BY_IDENTITY_SQL, BY_POSITION_SQL = scores_sql("e.id = a.id", "same_order"), scores_sql("e.pos = a.pos", "missing_records + extra_records + incorrect_fields = 0")
 SCORED = ["case_id", "expected_records", "actual_records", "matched_records", "missing_records", "extra_records", "expected_fields", "correct_fields", "incorrect_fields", "order_correct", "exact_match"]
 
 

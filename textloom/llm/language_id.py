@@ -9,7 +9,6 @@ batch of texts from it and adds them up text by text.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,8 +28,6 @@ GRAMS_AT_ONCE = 1 << 20
 UNDETERMINED = "und"
 ORDER = 3
 
-_letter = re.compile(r"[^\W\d_]")
-
 
 def grams(text: str) -> Iterator[np.ndarray]:
     """Buckets of all n-grams of a text, a stretch of it after another."""
@@ -83,7 +80,7 @@ class Model:
             np.add.at(totals, rows, sums)
             pending.clear()
 
-        judged = [i for i, t in enumerate(texts) if t is not None and _letter.search(t)]
+        judged = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
         for i in judged:
             for x in grams(texts[i]):
                 if len(x):

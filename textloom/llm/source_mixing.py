@@ -8,10 +8,11 @@ earliest deadline goes first. On one line of slots this always meets all
 deadlines, so that after any number of slots each source is less than one block
 from its share.
 
-Weights are rounded to whole slots of a frame, which makes the schedule repeat
-frame by frame. One frame is worked out on the driver, from the sources alone;
-each document then finds its own slot from its block number, in parallel. When a
-source runs out, the others go on with their weights scaled up, from a new frame.
+Weights are rounded to whole slots of a long frame, to 1 / FRAME_SLOTS, which
+makes the schedule repeat frame by frame. One frame, or what is needed of it, is
+worked out on the driver, from the sources alone; each document then finds its own
+slot from its block number, in parallel. When a source runs out, the others go on
+with their weights scaled up, from a new frame.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from textloom.llm.common import running_totals
 
 BLOCK_CHARS = 1 << 16
-FRAME_SLOTS = 1024
-#: Bounds the plan on the driver: fewer than 2 x MAX_SOURCES spells of FRAME_SLOTS slots.
+#: The finer weights are rounded, the less a source drifts from its target: by t / (2 x FRAME_SLOTS) blocks in t slots.
+FRAME_SLOTS = 1 << 15
+#: Bounds the plan: each time a source runs out, one frame of FRAME_SLOTS slots is worked out; all of them are 66 MB.
 MAX_SOURCES = 500
 #: Documents that one window task of the running sums gets, about.
 STRETCH_ROWS = 1024
@@ -57,8 +59,11 @@ def shares(weights: dict, frame: int) -> dict:
     return out
 
 
-def frame_slots(share: dict) -> dict:
-    """The slots of each source in one frame: earliest deadline first among released blocks."""
+def frame_slots(share: dict, left: dict | None = None) -> dict:
+    """The slots of each source in one frame: earliest deadline first among released blocks.
+
+    With `left`, the frame ends where the first source has placed as many blocks.
+    """
     frame = sum(share.values())
     names = sorted(share, key=str)
     released = [(-(-frame // share[s]), n, 1) for n, s in enumerate(names)]
@@ -71,6 +76,8 @@ def frame_slots(share: dict) -> dict:
             heapq.heappush(released, (-(-i * frame // share[names[n]]), n, i))
         _, n, i = heapq.heappop(released)
         slots[names[n]].append(slot)
+        if left is not None and i == left[names[n]]:
+            break
         if i < share[names[n]]:
             heapq.heappush(waiting, (i * frame // share[names[n]], n, i + 1))
     return slots
@@ -85,11 +92,11 @@ def plan(blocks: dict, weights: dict, frame: int = FRAME_SLOTS) -> list[Spell]:
     while left:
         weighted = {s: weights[s] for s in left if weights.get(s, 0) > 0}
         share = shares(weighted or {s: left[s] for s in left}, frame)
-        slots = frame_slots(share)
         frames = min(left[s] // share[s] for s in share)
+        slots = frame_slots(share, None if frames else left)
         # then as far into one more frame as the first source to run out reaches
         rest = {s: left[s] - frames * share[s] for s in share}
-        cut = min(slots[s][n - 1] + 1 if n else 0 for s, n in rest.items() if n < share[s])
+        cut = min(slots[s][n - 1] + 1 if n else 0 for s, n in rest.items() if n < share[s]) if frames else sum(map(len, slots.values()))
         for s in share:
             n = frames * share[s] + sum(x < cut for x in slots[s])
             if n:

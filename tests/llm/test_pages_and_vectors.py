@@ -5,7 +5,7 @@ import pytest
 
 from textloom.llm.common import table
 from textloom.llm.html_extraction import extract, main_text, templates
-from textloom.llm.vector_search import nearest
+from textloom.llm.vector_search import forest_search, nearest
 
 PAGES = [
     ("<article><h1>T &amp; &eacute;&#233;</h1><p>one\n  two<br>three<p>four <b>bo</b>ld</article>", "T & éé\none two three\nfour bold"),
@@ -120,3 +120,16 @@ def test_recall_on_vectors_of_unequal_length_in_clusters(spark):
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert recall(by_query(nearest(df, candidates=8000, part=300)), brute(rows, 20, 20)) > 0.9
+
+
+def test_queries_dealt_over_copies_of_a_part_find_the_same(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 8)) + 2)]
+    index = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = index.filter("id % 3 = 0")
+    norm = max(float(np.linalg.norm(v)) for _, v in rows)
+    found = [
+        sorted(map(tuple, forest_search(index, queries, 5, 8, norm, trees=3, candidates=200, part=50, asking_at_once=n).select("query", "id", "score").collect()))
+        for n in (8192, 7)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 200 * 5

@@ -7,7 +7,8 @@ trees at once, one bit at a time, until its prefixes hold CANDIDATES strings
 between them. The candidates are compared by exact inner product.
 
 In Spark a tree is dealt over blocks: strings with the same first bits, split
-further into parts of bounded size. A query visits the blocks of its own prefix.
+further into parts of bounded size. A query visits the blocks of its own prefix;
+where a prefix has very many queries, these too are dealt over copies of its parts.
 First each block counts the strings under each prefix length, which fixes how far
 the query ascends; then each block scores its candidates and passes on its best.
 Queries whose blocks hold too few strings ascend past them: they are run again
@@ -38,6 +39,8 @@ KEY_BITS = 128
 CANDIDATES = 1 << 16
 #: Strings of one part of a block, about.
 PART = 8192
+#: Queries that one copy of a part gets, about.
+ASKING = 8192
 #: Bits by which queries ascend past their blocks at once.
 ASCENT = 3
 SEED = 20240607
@@ -134,7 +137,7 @@ def _score(dim: int, k: int, index: pa.Table, queries: pa.Table) -> pa.Table:
     return pa.table({"query": pa.array(out["query"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
 
-def forest_search(index: DataFrame, queries: DataFrame, k: int, dim: int, norm: float, trees: int = TREES, candidates: int = CANDIDATES, part: int = PART) -> DataFrame:
+def forest_search(index: DataFrame, queries: DataFrame, k: int, dim: int, norm: float, trees: int = TREES, candidates: int = CANDIDATES, part: int = PART, asking_at_once: int = ASKING) -> DataFrame:
     """Rows query, id, score: the k best found for each query. `index`, `queries`: id, vector; ids and vectors are distinct in each."""
     filed = materialize(_filed(index, norm, dim, trees, True))
     asking = materialize(_filed(queries, norm, dim, trees, False))
@@ -143,11 +146,14 @@ def forest_search(index: DataFrame, queries: DataFrame, k: int, dim: int, norm:
     found = None
     while True:
         wanted = asking.withColumn("prefix", _prefix(depth))
-        here = filed.withColumn("prefix", _prefix(depth)).join(wanted.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
-        sizes = materialize(here.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / part).alias("parts")))
-        dealt = here.join(sizes, ["tree", "prefix"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        visits = wanted.join(sizes, ["tree", "prefix"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        block = ["tree", "prefix", "part"]
+        askers = wanted.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / asking_at_once).alias("turns"))
+        here = filed.withColumn("prefix", _prefix(depth))
+        sizes = here.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / part).alias("parts"))
+        sizes = materialize(sizes.join(askers, ["tree", "prefix"]))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        dealt = here.join(sizes, ["tree", "prefix"]).withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")), "turn": upto("turns")})
+        visits = wanted.join(sizes, ["tree", "prefix"]).withColumns({"part": upto("parts"), "turn": F.pmod(F.xxhash64("id"), F.col("turns"))})
+        block = ["tree", "prefix", "part", "turn"]
 
         counted = visits.select(*block, "id", "key").groupBy(*block).cogroup(dealt.select(*block, "key").groupBy(*block))
         counts = counted.applyInArrow(_counter(depth), "query long, counts array<long>")

@@ -62,15 +62,16 @@ def length_histogram(counts: DataFrame) -> DataFrame:
     bars = counts.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("tokens", F.col("docs") * F.col("n_tokens"))
     # read more than once below; the texts are encoded once
     bars = materialize(bars)
-    totals = bars.agg(F.sum("docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
+    # two numbers
+    totals = bars.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    all_docs, all_tokens = (F.lit(x).cast("long") for x in totals)
     summed = running_totals(bars, [], F.floor(F.col("n_tokens") / STRETCH), ["n_tokens"], {"docs_below": "docs", "tokens_below": "tokens"})
-    # totals is one row
-    return summed.join(F.broadcast(totals)).select(
+    return summed.select(
         "n_tokens", "docs", "tokens", "docs_below", "tokens_below",
-        (F.col("all_docs") - F.col("docs_below")).alias("docs_from"),
-        (F.col("all_tokens") - F.col("tokens_below")).alias("tokens_from"),
-        (F.col("tokens_below") + F.col("n_tokens") * (F.col("all_docs") - F.col("docs_below"))).alias("truncated_total"),
-        ((F.col("docs_below") + F.col("docs")) / F.col("all_docs")).alias("share"),
+        (all_docs - F.col("docs_below")).alias("docs_from"),
+        (all_tokens - F.col("tokens_below")).alias("tokens_from"),
+        (F.col("tokens_below") + F.col("n_tokens") * (all_docs - F.col("docs_below"))).alias("truncated_total"),
+        ((F.col("docs_below") + F.col("docs")) / all_docs).alias("share"),
     )
 
 

@@ -18,11 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import running_totals
+
 CAPACITIES = (4096, 8192, 16384)
 #: What a sequence costs besides its length, in the same unit.
 PER_SEQUENCE = 64
 #: Pieces of one shard, about. More would only save the less than full bins at each shard's end.
 SHARD_PIECES = 20_000
+#: The same where the order of documents is kept: within a shard it holds only roughly.
+ORDERED_SHARD_PIECES = 2_000
+#: Documents that one window task of the running sums gets, about.
+STRETCH_ROWS = 1024
 
 
 def default_costs(capacities: Sequence[int]) -> list[int]:
@@ -57,9 +63,22 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, costs:
     return best[1], best[2]
 
 
+def _in_order(bins: list[int], sizes: list[int], lengths: list[int], positions: list[int]) -> tuple[list[int], list[int]]:
+    """The same bins, numbered by the mean position of what they hold."""
+    mass, total = [0] * len(sizes), [0] * len(sizes)
+    for b, n, p in zip(bins, lengths, positions, strict=True):
+        mass[b] += n
+        total[b] += n * p
+    order = sorted(range(len(sizes)), key=lambda b: (total[b] / mass[b], b))
+    number = {b: i for i, b in enumerate(order)}
+    return [number[b] for b in bins], [sizes[b] for b in order]
+
+
 def _pack_shard(capacities: Sequence[int], costs: Sequence[float] | None, shard: pa.Table) -> pa.Table:
     shard = shard.sort_by([("length", "descending"), ("_id", "ascending"), ("start", "ascending")])
     bins, sizes = pack(shard["length"].to_pylist(), capacities, costs)
+    if "position" in shard.column_names:
+        bins, sizes = _in_order(bins, sizes, shard["length"].to_pylist(), shard["position"].to_pylist())
     offsets, filled = [], [0] * len(sizes)
     for b, n in zip(bins, shard["length"].to_pylist(), strict=True):
         offsets.append(filled[b])
@@ -71,7 +90,7 @@ def _pack_shard(capacities: Sequence[int], costs: Sequence[float] | None, shard:
     return pa.table({"_id": shard["_id"], "start": shard["start"], "length": shard["length"], **{k: pa.array(v, pa.int64()) for k, v in columns.items()}})
 
 
-def best_fit(documents: DataFrame, length: Column | None = None, capacities: Sequence[int] = CAPACITIES, costs: Sequence[float] | None = None) -> DataFrame:
+def best_fit(documents: DataFrame, length: Column | None = None, capacities: Sequence[int] = CAPACITIES, costs: Sequence[float] | None = None, row: Column | None = None, shard_pieces: int | None = None) -> DataFrame:
     """Rows doc_id, start, length, bin_id, capacity, used, offset: where each piece of each document goes.
 
     `length` is a document's length, by default its code points. Piece
@@ -80,18 +99,32 @@ def best_fit(documents: DataFrame, length: Column | None = None, capacities: Seq
     is dropped or cut short: one without length gets a row of length 0 without a
     bin. Null texts and lengths count as 0. Rows that repeat are packed each; null
     doc_ids are kept. An empty table gives no rows; other columns are not read.
+
+    With `row`, a distinct number for each document, bins follow that order: shards
+    are stretches of consecutive pieces, and bins are numbered by where their
+    pieces come from. Without it pieces are dealt at random.
     """
     capacities = sorted(capacities)
     longest = capacities[-1]
     n = F.coalesce(F.char_length("text") if length is None else length, F.lit(0)).cast("long")
-    docs = documents.select(F.col("doc_id").alias("_id"), n.alias("_n"), F.xxhash64("doc_id", "text").alias("_deal"))
+    docs = documents.select(F.col("doc_id").alias("_id"), n.alias("_n"), (F.xxhash64("doc_id", "text") if row is None else row.cast("long")).alias("_deal"))
     starts = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / longest))), lambda i: i * longest)
-    pieces = docs.select("_id", "_n", "_deal", F.explode(starts).alias("start"))
-    pieces = pieces.select("_id", "_deal", "start", F.least(F.col("_n") - F.col("start"), F.lit(longest)).alias("length"))
+    if row is None:
+        docs = docs.withColumn("_before", F.lit(0).cast("long"))
+    else:
+        counted = docs.withColumns({"_one": F.lit(0), "_pieces": F.ceil(F.col("_n") / longest)})
+        docs = running_totals(counted, ["_one"], F.floor(F.col("_deal") / STRETCH_ROWS), ["_deal"], {"_before": "_pieces"})
+    pieces = docs.select("_id", "_n", "_deal", "_before", F.explode(starts).alias("start"))
+    pieces = pieces.select("_id", "_deal", "_before", "start", F.least(F.col("_n") - F.col("start"), F.lit(longest)).alias("length"))
 
-    shards = max(1, pieces.count() // SHARD_PIECES)
-    # by text too, as ids may be null
-    dealt = pieces.filter("length > 0").select("_id", "start", "length", F.pmod(F.xxhash64("_deal", "start"), F.lit(shards)).alias("shard"))
+    filled = pieces.filter("length > 0")
+    if row is None:
+        shards = max(1, pieces.count() // (shard_pieces or SHARD_PIECES))
+        # by text too, as ids may be null
+        dealt = filled.select("_id", "start", "length", F.pmod(F.xxhash64("_deal", "start"), F.lit(shards)).alias("shard"))
+    else:
+        position = F.col("_before") + F.floor(F.col("start") / longest)
+        dealt = filled.select("_id", "start", "length", position.alias("position"), F.floor(position / (shard_pieces or ORDERED_SHARD_PIECES)).alias("shard"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"_id {kind}, start long, length long, bin_id long, capacity long, used long, offset long"
     packed = dealt.groupBy("shard").applyInArrow(lambda t: _pack_shard(capacities, costs, t), schema)

@@ -62,3 +62,11 @@ def test_queries():
     assert trigram_query("abc|x*") is None
     assert trigram_query("ABC.def") == [["abc", "def"]]
     assert trigram_query("(?:abc){2,3}x?yz1") == [["abc", "yz1"]]
+
+
+def test_logins_after_other_characters(spark):
+    texts = ["1.https://bob:hunter22@h/", "...postgres://u:pw1234@db/", "-https://u:p@h", "0ftp://u:p@h", "a1b.c-https://u:p@h", "x://u:p@y.z://u:p@h"]
+    found = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "url_login"] for r in found}
+    assert spans == {0: [(2, 23)], 1: [(3, 23)], 2: [(1, 13)], 3: [(1, 11)], 4: [(0, 18)], 5: [(0, 8), (8, 18)]}
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))

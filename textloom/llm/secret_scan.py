@@ -26,12 +26,16 @@ MARK, OTHER = "\x01", "\x02"
 
 
 class Rule(NamedTuple):
-    """A kind of secret: a match counts if `group` has `least` characters or more."""
+    """A kind of secret: a match counts if `group` has `least` characters or more.
+
+    `search` finds the same matches as `pattern`, as group 2 after what leads up to them, reading a text's runs once.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    search: str = ""
 
 
 BASE_RULES = (
@@ -47,9 +51,12 @@ MORE_RULES = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("pay_key", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
-    # only from a scheme's first character on, so that a long run of letters is read once
-    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@"),
-)
+    # `search` goes from the start of a run of these characters to its first letter, so that a long run is read once
+    Rule(
+        "url_login", r"(?<![a-z])[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@",
+        search=r"((?<![a-z0-9+.-])[0-9+.-]*)([a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@)",
+    ),
+)
 RULES = BASE_RULES + MORE_RULES
 
 
@@ -111,7 +118,8 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left").select("d.doc_id", F.translate("d.text", MARK, OTHER).alias("text"), F.col("c.kinds").alias("kinds"))
     parts = []
     for rule in rules:
-        here = F.split(F.regexp_replace("text", rule.pattern, f"{MARK}$0{MARK}"), MARK)
+        marked = F.regexp_replace("text", rule.search, f"$1{MARK}$2{MARK}") if rule.search else F.regexp_replace("text", rule.pattern, f"{MARK}$0{MARK}")
+        here = F.split(marked, MARK)
         if trigram_query(rule.pattern) is not None:
             here = F.when(F.array_contains("kinds", rule.kind), here).otherwise(F.array().cast("array<string>"))
         parts.append(here.alias(f"parts_{rule.kind}"))

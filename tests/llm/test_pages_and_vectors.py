@@ -31,7 +31,7 @@ def test_templates_go_and_articles_stay(spark):
     rows = []
     for i in range(40):
         own = f"<div><span>story {i} of its own</span></div>"
-        shared = "<p>a passage that all pages quote</p>"
+        shared = "<p>a passage that many pages quote</p>" if i % 5 < 2 else ""
         template = "<div><span>Brought to you by the site</span></div>"
         rows.append((i, "http://one.example/x", f"<body>{template}{own}</body>"))
         rows.append((100 + i, "http://two.example/x", f"<article>{shared}<p>{i}</p></article>"))
@@ -42,7 +42,7 @@ def test_templates_go_and_articles_stay(spark):
     assert extract(pages).count() == len(rows)
     for i in range(40):
         assert got[i] == (f"story {i} of its own", len(f"story {i} of its own"))
-        assert got[100 + i][0] == f"a passage that all pages quote\n{i}"
+        assert got[100 + i][0] == (f"a passage that many pages quote\n{i}" if i % 5 < 2 else str(i))
         assert got[200 + i][0] == "Brought to you by the site\none copied page"
     assert got[300] == got[301] == ("", 0) and got[None] == ("z", 1)
     assert {r["host"] for r in templates(pages).collect()} == {"one.example"}

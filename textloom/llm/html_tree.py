@@ -16,6 +16,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of one of these ends an open p.
 ENDS_P = BLOCK - frozenset("body caption html legend option optgroup tbody td tfoot th thead tr".split())
 #: start tag -> (open elements that it ends, elements that shield them)
@@ -58,23 +59,43 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
+class _Open:
+    """The open elements of a page, innermost last, with the places of each tag, so that none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def node(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> None:
+        self.places[self.stack.pop().tag].pop()
+
+    def innermost(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags: tuple[str, ...], shields: tuple[str, ...] = ()) -> None:
+        """End the innermost open element of `tags` and all inside it, unless a shield stands between."""
+        at = self.innermost(tags)
+        if at > self.innermost(shields):
+            while len(self.stack) > at:
+                self.pop()
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; whatever the text, there is one."""
+    """The tree of a page; whatever the text, there is one. Time is linear in the page, however deep it nests."""
     root = Node("html", {})
-    node, at, end = root, 0, len(page)
+    open_, at, end = _Open(root), 0, len(page)
 
     def add(text: str) -> None:
         if text:
-            node.children.append(html.unescape(text) if "&" in text else text)
-
-    def close(tags: tuple[str, ...], shields: tuple[str, ...]) -> None:
-        nonlocal node
-        up = node
-        while up is not root and up.tag not in shields:
-            if up.tag in tags:
-                node = up.parent
-                return
-            up = up.parent
+            open_.node.children.append(html.unescape(text) if "&" in text else text)
 
     while at < end:
         m = _token.search(page, at)
@@ -89,42 +110,34 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not _inside(node, root, "p"):
-                node.children.append(Node("p", {}, node))
-            close((tag,), ())
+            if tag == "p" and not open_.places.get("p"):
+                open_.node.children.append(Node("p", {}, open_.node))
+            open_.close((tag,))
             continue
         attributes = _attributes(m[3])
         if tag == "html":
             root.attributes.update(attributes)
             continue
-        if node.tag == "head" and tag not in IN_HEAD:
-            node = node.parent
+        if open_.node.tag == "head" and tag not in IN_HEAD:
+            open_.pop()
         if tag in ENDS_P:
-            close(("p",), ("table", "button", "object", "td", "th", "caption"))
+            open_.close(("p",), ("table", "button", "object", "td", "th", "caption"))
         if tag in ENDS:
-            close(*ENDS[tag])
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", node.tag):
-            node = node.parent
-        new = Node(tag, attributes, node)
-        node.children.append(new)
+            open_.close(*ENDS[tag])
+        if tag in HEADINGS and open_.node.tag in HEADINGS:
+            open_.pop()
+        new = Node(tag, attributes, open_.node)
+        open_.node.children.append(new)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             text = page[at : stop.start() if stop else end]
             new.children.append(html.unescape(text) if tag in ("title", "textarea") and "&" in text else text)
             at = stop.end() if stop else end
         elif tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag not in VOID:
-            node = new
+            open_.push(new)
     return root
 
 
-def _inside(node: Node, root: Node, tag: str) -> bool:
-    while node is not root:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
 def postorder(root: Node) -> list[Node]:
     """All elements, children before parents, without recursion, as pages may nest deeply."""
     out, stack = [], [root]
@@ -137,14 +150,16 @@ def postorder(root: Node) -> list[Node]:
 
 
 def hashes(root: Node) -> dict[int, int]:
-    """For each element, by id(): a signed 64-bit hash of its subtree, white space and attribute order aside."""
+    """For each element that holds text, by id(): a signed 64-bit hash of its subtree's tags and texts.
+
+    White space and attributes are left out: a menu is the same whichever of its entries is marked as the current one.
+    """
     out: dict[int, int] = {}
     for node in postorder(root):
-        parts = [node.tag, *(f"{k}={v}" for k, v in sorted(node.attributes.items()) if k in ("class", "id", "role", "href", "src"))]
-        for c in node.children:
-            parts.append(str(out[id(c)]) if isinstance(c, Node) else " ".join(c.split()))
-        x = xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "replace"))
-        out[id(node)] = x - (1 << 64) if x >> 63 else x
+        parts = [str(out[id(c)]) if isinstance(c, Node) else " ".join(c.split()) for c in node.children if not isinstance(c, Node) or id(c) in out]
+        if any(parts):
+            x = xxhash.xxh64_intdigest("\x1f".join([node.tag, *parts]).encode("utf-8", "replace"))
+            out[id(node)] = x - (1 << 64) if x >> 63 else x
     return out
 
 

@@ -1,157 +1,178 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The characters of each source, in a fixed pseudo-random order of its documents,
-are cut into blocks of equal size. Every slot of the output takes one block. A
-source with weight w releases its i-th block at slot floor((i - 1) / w) and must
-have it placed by slot ceil(i / w); among released blocks the one with the
-earliest deadline goes first. On one line of slots this always meets all
-deadlines, so that after any number of slots each source is less than one block
-from its share.
-
-Weights are rounded to whole slots of a long frame, to 1 / FRAME_SLOTS, which
-makes the schedule repeat frame by frame. One frame, or what is needed of it, is
-worked out on the driver, from the sources alone; each document then finds its own
-slot from its block number, in parallel. When a source runs out, the others go on
-with their weights scaled up, from a new frame.
+are cut into blocks of equal size. Every slot of the output takes one block. In
+the ideal mix, which has no blocks, all sources flow at once, each in proportion
+to its weight, until it is used up; the others then share what it leaves. A
+source's i-th block is released when the ideal mix begins it and due when the
+ideal mix ends it, rounded outwards to whole slots; among released blocks the one
+with the earliest deadline goes first. As the ideal mix puts exactly t blocks into
+t slots, this meets all deadlines, so that after any number of slots each source
+is less than one block from its share, which is exact: nothing is rounded.
+
+The schedule depends on the sources' sizes and weights alone and is worked out on
+the driver, slot by slot. Its length is bounded by SLOTS and the number of sources:
+where the corpus has more characters than SLOTS blocks of the usual size, blocks
+are made larger. Each document then finds its own slot from its block, in parallel.
 """
 
 from __future__ import annotations
 
 import heapq
-from typing import NamedTuple
-
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+from collections.abc import Sequence
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import running_totals
+from textloom.llm.common import materialize, running_totals
 
 BLOCK_CHARS = 1 << 16
-#: The finer weights are rounded, the less a source drifts from its target: by t / (2 x FRAME_SLOTS) blocks in t slots.
-FRAME_SLOTS = 1 << 15
-#: Bounds the plan: each time a source runs out, one frame of FRAME_SLOTS slots is worked out; all of them are 66 MB.
-MAX_SOURCES = 500
+#: Blocks of all sources, about, from which on they grow with the corpus. Bounds the schedule: 8 MB, some ten seconds.
+SLOTS = 1 << 21
 #: Documents that one window task of the running sums gets, about.
 STRETCH_ROWS = 1024
-
-
-class Spell(NamedTuple):
-    """Blocks `first` to `end` - 1 of a source: block b is in slot base + (b - first) // len(slots) * frame + slots[(b - first) % len(slots)]."""
-
-    source: str | None
-    first: int
-    end: int
-    base: int
-    frame: int
-    slots: list[int]
-
-
-def shares(weights: dict, frame: int) -> dict:
-    """Whole slots of a frame for each source, by largest remainder, one at least."""
-    total = sum(weights.values())
-    exact = {s: frame * w / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    i = 0
-    while (spare := frame - sum(out.values())) != 0:
-        s = order[i % len(order)] if spare > 0 else max(out, key=lambda s: (out[s] - exact[s], out[s], str(s)))
-        out[s] += 1 if spare > 0 else -1
-        i += 1
-    return out
-
-
-def frame_slots(share: dict, left: dict | None = None) -> dict:
-    """The slots of each source in one frame: earliest deadline first among released blocks.
-
-    With `left`, the frame ends where the first source has placed as many blocks.
-    """
-    frame = sum(share.values())
-    names = sorted(share, key=str)
-    released = [(-(-frame // share[s]), n, 1) for n, s in enumerate(names)]
+#: Slots of a source that are kept in one row of the schedule.
+ROW_SLOTS = 1024
+#: Up to so many sources the schedule is broadcast.
+BROADCAST_SOURCES = 50_000
+ALPHA = 0.5
+
+
+class _Ideal:
+    """The ideal mix: after virtual time v, source k has given min(blocks[k], weights[k] * v) blocks."""
+
+    def __init__(self, blocks: list[int], weights: list[int]):
+        self.weights = weights
+        ends: dict[Fraction, tuple[int, int]] = {}
+        for n, w in zip(blocks, weights, strict=True):
+            mass, rate = ends.get(Fraction(n, w), (0, 0))
+            ends[Fraction(n, w)] = mass + n, rate + w
+        times = sorted(ends)
+        self.exact = [(t.numerator, t.denominator) for t in times]
+        self.rough = [n / d for n, d in self.exact]
+        #: By how many ends have passed: blocks of the sources that have ended, and the weights of the others.
+        self.done = list(accumulate((ends[t][0] for t in times), initial=0))
+        total = sum(weights)
+        self.rate = [total - x for x in accumulate((ends[t][1] for t in times), initial=0)]
+
+    def slot(self, k: int, i: int) -> tuple[int, int]:
+        """When source k has given i blocks: that slot rounded down, and up."""
+        w = self.weights[k]
+        j = bisect_left(self.rough, i / w)
+        while j < len(self.exact) and self.exact[j][0] * w < i * self.exact[j][1]:
+            j += 1
+        while j and self.exact[j - 1][0] * w >= i * self.exact[j - 1][1]:
+            j -= 1
+        whole, rest = divmod(i * self.rate[j], w)
+        return self.done[j] + whole, self.done[j] + whole + (rest > 0)
+
+
+def _earliest_deadline_first(blocks: list[int], weights: list[int]) -> list[int]:
+    """The source of each slot."""
+    ideal, out = _Ideal(blocks, weights), []
+    ready = [(ideal.slot(k, 1)[1], k, 1) for k in range(len(blocks))]
+    heapq.heapify(ready)
     waiting: list[tuple[int, int, int]] = []
-    heapq.heapify(released)
-    slots = {s: [] for s in share}
-    for slot in range(frame):
+    for slot in range(sum(blocks)):
         while waiting and waiting[0][0] <= slot:
-            _, n, i = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-i * frame // share[names[n]]), n, i))
-        _, n, i = heapq.heappop(released)
-        slots[names[n]].append(slot)
-        if left is not None and i == left[names[n]]:
-            break
-        if i < share[names[n]]:
-            heapq.heappush(waiting, (i * frame // share[names[n]], n, i + 1))
-    return slots
-
-
-def plan(blocks: dict, weights: dict, frame: int = FRAME_SLOTS) -> list[Spell]:
-    """The spells of all sources. `blocks`: each source's number of blocks; sources without weight come last, by size."""
-    if len(blocks) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    left, done = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
-    base, out = 0, []
-    while left:
-        weighted = {s: weights[s] for s in left if weights.get(s, 0) > 0}
-        share = shares(weighted or {s: left[s] for s in left}, frame)
-        frames = min(left[s] // share[s] for s in share)
-        slots = frame_slots(share, None if frames else left)
-        # then as far into one more frame as the first source to run out reaches
-        rest = {s: left[s] - frames * share[s] for s in share}
-        cut = min(slots[s][n - 1] + 1 if n else 0 for s, n in rest.items() if n < share[s]) if frames else sum(map(len, slots.values()))
-        for s in share:
-            n = frames * share[s] + sum(x < cut for x in slots[s])
-            if n:
-                out.append(Spell(s, done[s], done[s] + n, base, frame, slots[s]))
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        base += frames * frame + cut
+            _, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (ideal.slot(k, i)[1], k, i))
+        _, k, i = heapq.heappop(ready)
+        out.append(k)
+        if i < blocks[k]:
+            heapq.heappush(waiting, (ideal.slot(k, i)[0], k, i + 1))
     return out
 
 
-def tempered(masses: dict, alpha: float = 0.5) -> dict:
-    """Target weights in proportion to size to the power alpha: below 1 raises small sources."""
-    return {s: m**alpha for s, m in masses.items()}
-
+def schedule(blocks: Sequence[int], weights: Sequence[float | Fraction]) -> np.ndarray:
+    """The source of each slot, for sources of so many blocks. Those without a weight come last, mixed by size.
 
-def mix(documents: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, frame: int = FRAME_SLOTS) -> DataFrame:
+    Weights are taken exactly as given, whatever their scale; ties go to the source listed first.
+    """
+    parts = []
+    for chosen in ([k for k, n in enumerate(blocks) if n and weights[k] > 0], [k for k, n in enumerate(blocks) if n and not weights[k] > 0]):
+        if chosen:
+            given = [Fraction(weights[k]) if weights[k] > 0 else Fraction(blocks[k]) for k in chosen]
+            scale = lcm(*(w.denominator for w in given))
+            found = _earliest_deadline_first([blocks[k] for k in chosen], [int(w * scale) for w in given])
+            parts.append(np.array(chosen, np.int64)[np.array(found, np.int64)])
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def tempered(mass: float, alpha: float = ALPHA) -> float:
+    """A target weight in proportion to size to the power alpha: below 1 raises small sources."""
+    return float(mass) ** alpha
+
+
+def _rows(who: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """The schedule by source: of source id, the slots of blocks nth * ROW_SLOTS and on."""
+    by_source = np.argsort(who, kind="stable")
+    counts = np.bincount(who, minlength=len(ids))
+    starts = np.cumsum(counts) - counts
+    source, nth, slots = [], [], []
+    for k in np.flatnonzero(counts):
+        for row, at in enumerate(range(starts[k], starts[k] + counts[k], ROW_SLOTS)):
+            source.append(ids[k])
+            nth.append(row)
+            slots.append(by_source[at : min(at + ROW_SLOTS, starts[k] + counts[k])])
+    return pa.table({"_id": pa.array(source, pa.int64()), "_nth": pa.array(nth, pa.int64()), "_slots": pa.array(slots, pa.list_(pa.int32()))})
+
+
+def mix(documents: DataFrame, weights: dict | None = None, block_chars: int | None = None, slots: int = SLOTS) -> DataFrame:
     """`documents` with chars, block, slot and offset: sorted by (slot, offset), sources are mixed to their weights.
 
-    `weights` gives each source's target; by default sizes are tempered. A
-    document belongs to the block in which its first character falls, block
-    numbers count within the source, and offset is the place of that character in
-    the block. All rows stay. Null and empty texts take no room and share the slot
-    of their neighbours; a null source is a source of its own; rows that repeat
-    are placed one after another. An empty table gives no rows. Columns of the
-    input called chars, block, slot or offset are replaced. chars is the text's
-    code points; a caller that needs no more of the text doesn't shuffle it.
+    `weights` gives each source's target, exactly; by default sizes are tempered.
+    Sources without a weight come last. Blocks have `block_chars` characters, by
+    default BLOCK_CHARS or, if more, the corpus divided by `slots`. A document belongs
+    to the block in which its first character falls, block numbers count within the
+    source, and offset is the place of that character in the block. All rows stay.
+    Null and empty texts take no room and share the slot of their neighbours; a null
+    source is a source of its own; rows that repeat are placed one after another. An
+    empty table gives no rows. Columns of the input called chars, block, slot or
+    offset are replaced. chars is the text's code points; a caller that needs no more
+    of the text doesn't shuffle it. There is no bound on the number of sources: the
+    driver holds a number for each, not its name.
     """
+    spark = documents.sparkSession
     kept = [c for c in documents.columns if c not in ("chars", "block", "slot", "offset")]
     rows = documents.select(*[F.col(c).alias(f"in_{c}") for c in kept]).withColumn("_chars", F.coalesce(F.char_length("in_text"), F.lit(0)))
-    stretches = max(1, documents.count() // STRETCH_ROWS)
-    rows = rows.withColumns({"_order": F.xxhash64("in_doc_id", "in_text"), "_named": F.col("in_source").isNotNull(), "_key": F.coalesce("in_source", F.lit(""))})
-    placed = running_totals(rows, ["_key", "_named"], F.pmod("_order", F.lit(stretches)), ["_order", "in_doc_id"], {"_before": "_chars"})
-
-    masses = {r["in_source"]: r["n"] for r in rows.groupBy("in_source").agg(F.sum("_chars").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    blocks = {s: max(1, -(-n // block_chars)) for s, n in masses.items()}
-    spells = plan(blocks, weights if weights is not None else tempered(masses), frame)
-    schema = "source string, first long, end long, base long, frame long, slots array<int>"
-    spells = documents.sparkSession.createDataFrame(spells, schema).withColumn("n_blocks", F.max("end").over(Window.partitionBy("source")))
-
-    last = F.col("n_blocks") - 1
-    block = F.least(F.floor(F.col("_before") / block_chars), last)
-    at = F.col("block") - F.col("first")
-    inside = F.get("slots", (at % F.size("slots")).cast("int"))
-    found = placed.join(F.broadcast(spells), F.col("in_source").eqNullSafe(F.col("source"))).withColumn("block", block)
-    found = found.filter((F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
-    return found.select(
+
+    sizes = rows.groupBy("in_source").agg(F.sum("_chars").alias("mass"), F.count("*").alias("rows"))
+    given = list((weights or {}).items())
+    places = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(given)], "named string, place long")
+    sizes = sizes.join(places, F.col("in_source").eqNullSafe(F.col("named")), "left").orderBy("in_source").withColumn("_id", F.monotonically_increasing_id())
+    sizes = materialize(sizes.select(F.col("in_source").alias("_name"), "mass", "rows", "place", "_id"))
+    found = sizes.select("_id", "mass", "rows", "place").toArrow().sort_by("_id")
+    ids, masses = found["_id"].to_numpy(), found["mass"].to_pylist()
+    size = block_chars or max(BLOCK_CHARS, -(-sum(masses) // slots))
+    targets = [tempered(m) for m in masses] if weights is None else [0 if p is None else given[p][1] for p in found["place"].to_pylist()]
+    # the blocks of a source without characters have documents too
+    who = schedule([max(1, -(-m // size)) for m in masses], targets)
+    plan = materialize(spark.createDataFrame(_rows(who, ids), "_id long, _nth long, _slots array<int>"))
+    # checked: a name, a number and 4 bytes a slot for each of so many sources at most
+    small = F.broadcast if len(ids) <= BROADCAST_SOURCES else lambda df: df
+
+    named = sizes.select("_name", "_id", F.greatest(F.lit(1), F.ceil(F.col("mass") / size)).alias("_blocks"))
+    rows = rows.join(small(named), F.col("in_source").eqNullSafe(F.col("_name"))).withColumn("_order", F.xxhash64("in_doc_id", "in_text"))
+    stretches = max(1, sum(found["rows"].to_pylist()) // STRETCH_ROWS)
+    placed = running_totals(rows, ["_id"], F.pmod("_order", F.lit(stretches)), ["_order", "in_doc_id"], {"_before": "_chars"})
+    placed = placed.withColumn("_block", F.least(F.floor(F.col("_before") / size), F.col("_blocks") - 1))
+    placed = placed.withColumn("_nth", F.floor(F.col("_block") / ROW_SLOTS)).join(small(plan), ["_id", "_nth"])
+    return placed.select(
         *[F.col(f"in_{c}").alias(c) for c in kept],
         F.col("_chars").alias("chars"),
-        "block",
-        (F.col("base") + F.floor(at / F.size("slots")) * F.col("frame") + inside).alias("slot"),
-        (F.col("_before") - F.col("block") * block_chars).alias("offset"),
+        F.col("_block").alias("block"),
+        F.get("_slots", (F.col("_block") % ROW_SLOTS).cast("int")).cast("long").alias("slot"),
+        (F.col("_before") - F.col("_block") * size).alias("offset"),
     )
 
 
-def mixed_order(documents: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def mixed_order(documents: DataFrame, weights: dict | None = None, block_chars: int | None = None) -> DataFrame:
     """`documents`, all rows and only its columns, sorted into the mixed order."""
     return mix(documents, weights, block_chars).orderBy("slot", "offset", "doc_id").select(*documents.columns)

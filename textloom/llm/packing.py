@@ -3,22 +3,24 @@
 Documents longer than the longest sequence are cut into pieces of that length
 and a rest. Pieces are dealt over shards of bounded size. In each shard they are
 packed longest first: a piece goes to the open bin that it leaves with the least
-room; if none has room, a bin is opened. Which length to open is tried out
-jointly: for each permitted length, a packing that opens it wherever the piece
-fits; each packing is then improved by downsizing every bin to the cheapest
-length that holds its contents, and the cheapest packing is taken.
+room; if none has room, a bin is opened. Which length to open is weighed anew
+for each bin, all permitted lengths together: for each one, what of the pieces
+still to come would fill it best; the bin is opened at the length that costs least
+for what it would then hold. In the end every bin is downsized to the cheapest
+length that holds its contents. Opening one length wherever it fits is tried beside
+that, for each length, and the cheapest of these packings is taken.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import running_totals
+from textloom.llm.common import materialize, running_totals
 
 CAPACITIES = (4096, 8192, 16384)
 #: What a sequence costs besides its length, in the same unit.
@@ -35,32 +37,70 @@ def default_costs(capacities: Sequence[int]) -> list[int]:
     return [c + PER_SEQUENCE for c in capacities]
 
 
+class _Sizes:
+    """The permitted lengths, and what to open or to keep."""
+
+    def __init__(self, capacities: Sequence[int], costs: Sequence[float]):
+        self.capacities, self.costs = list(capacities), list(costs)
+        self.cheapest = sorted(range(len(capacities)), key=lambda i: (costs[i], capacities[i]))
+
+    def downsized(self, used: int) -> int:
+        return next(i for i in self.cheapest if self.capacities[i] >= used)
+
+    def fixed(self, preferred: int, n: int) -> int:
+        return preferred if preferred >= n else min(c for c in self.capacities if c >= n)
+
+    def least_cost(self, falling: list[int], at: int) -> int:
+        """What to open for the longest piece left: the length with the least cost for each unit that it would hold.
+
+        `falling` are the negated lengths, so in rising order; those after `at` are still to come. A bin would be
+        filled with the longest piece that fits, again and again.
+        """
+        best = None
+        for capacity in self.capacities:
+            room = capacity + falling[at]
+            if room < 0:
+                continue
+            i = at + 1
+            while room:
+                i = bisect_left(falling, -room, i)
+                if i == len(falling):
+                    break
+                room += falling[i]
+                i += 1
+            price = self.costs[self.downsized(capacity - room)] / (capacity - room)
+            if best is None or price < best[0]:
+                best = price, capacity
+        return best[1]
+
+
+def _best_fit(lengths: Sequence[int], sizes: _Sizes, opened: Callable[[int], int]) -> tuple[float, list[int], list[int]]:
+    """The cost, the bin of each length, and each bin's capacity; `opened`: what to open for the piece at a place."""
+    bins: list[int] = []
+    used: list[int] = []
+    open_bins: list[tuple[int, int]] = []  # (room, bin), sorted
+    for i, n in enumerate(lengths):
+        at = bisect_left(open_bins, (n, -1))
+        if at < len(open_bins):
+            room, b = open_bins.pop(at)
+        else:
+            room, b = opened(i), len(used)
+            used.append(0)
+        bins.append(b)
+        used[b] += n
+        if room > n:
+            insort(open_bins, (room - n, b))
+    kept = [sizes.downsized(u) for u in used]
+    return sum(sizes.costs[i] for i in kept), bins, [sizes.capacities[i] for i in kept]
+
+
 def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, costs: Sequence[float] | None = None) -> tuple[list[int], list[int]]:
     """The bin of each length, and each bin's capacity. `lengths` are positive, longest first, none over the largest capacity."""
-    costs = list(costs or default_costs(capacities))
-    cheapest = sorted(range(len(capacities)), key=lambda i: (costs[i], capacities[i]))
-    downsized = lambda used: next(i for i in cheapest if capacities[i] >= used)
-    best: tuple[float, list[int], list[int]] | None = None
-    for preferred in sorted(capacities):
-        bins: list[int] = []
-        used: list[int] = []
-        open_bins: list[tuple[int, int]] = []  # (room, bin), sorted
-        for n in lengths:
-            at = bisect_left(open_bins, (n, -1))
-            if at < len(open_bins):
-                room, b = open_bins.pop(at)
-            else:
-                room, b = preferred if preferred >= n else min(c for c in capacities if c >= n), len(used)
-                used.append(0)
-            bins.append(b)
-            used[b] += n
-            if room > n:
-                insort(open_bins, (room - n, b))
-        sizes = [downsized(u) for u in used]
-        cost = sum(costs[i] for i in sizes)
-        if best is None or cost < best[0]:
-            best = cost, bins, [capacities[i] for i in sizes]
-    return best[1], best[2]
+    sizes = _Sizes(sorted(capacities), [c for _, c in sorted(zip(capacities, costs or default_costs(capacities), strict=True))])
+    falling = [-n for n in lengths]
+    found = [_best_fit(lengths, sizes, lambda i: sizes.least_cost(falling, i))]
+    found += [_best_fit(lengths, sizes, lambda i, c=c: sizes.fixed(c, lengths[i])) for c in sizes.capacities]
+    return min(found, key=lambda f: f[0])[1:]
 
 
 def _in_order(bins: list[int], sizes: list[int], lengths: list[int], positions: list[int]) -> tuple[list[int], list[int]]:
@@ -108,6 +148,7 @@ def best_fit(documents: DataFrame, length: Column | None = None, capacities: Seq
     longest = capacities[-1]
     n = F.coalesce(F.char_length("text") if length is None else length, F.lit(0)).cast("long")
     docs = documents.select(F.col("doc_id").alias("_id"), n.alias("_n"), (F.xxhash64("doc_id", "text") if row is None else row.cast("long")).alias("_deal"))
+    docs = materialize(docs)  # texts are measured once
     starts = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / longest))), lambda i: i * longest)
     if row is None:
         docs = docs.withColumn("_before", F.lit(0).cast("long"))

@@ -5,7 +5,7 @@ import pytest
 
 from textloom.llm.common import table
 from textloom.llm.html_extraction import extract, main_text, templates
-from textloom.llm.vector_search import forest_search, nearest
+from textloom.llm.vector_search import Forest, _common_bits, forest_search, measured_share, nearest
 
 PAGES = [
     ("<article><h1>T &amp; &eacute;&#233;</h1><p>one\n  two<br>three<p>four <b>bo</b>ld</article>", "T & éé\none two three\nfour bold"),
@@ -104,22 +104,70 @@ def recall(got, want):
     return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
 
 
+def vectors(spark, x):
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).astype(float).tolist())]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def measured(df):
+    """The share of strings that is found by measuring, on vectors that are good and different."""
+    dim = len(df.first()["embedding"])
+    rows = df.selectExpr("vec_id as id", "embedding as vector")
+    norm = max(float(np.linalg.norm(r["vector"])) for r in rows.collect())
+    return measured_share(rows, rows.filter("id % 20 = 0"), 21, Forest(dim, norm))
+
+
 def test_recall_on_embeddings(spark):
     df = table(spark, "/root/testdata/sf0.1", "embeddings")
-    rows = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
-    want = brute(rows, 20, 20)
-    assert recall(by_query(nearest(df)), want) == 1
-    # far fewer candidates than vectors, so that queries descend, and ascend past small blocks
-    assert recall(by_query(nearest(df, candidates=6000, part=100)), want) > 0.5
+    want = brute([(r["vec_id"], list(r["embedding"])) for r in df.collect()], 20, 20)
+    assert measured(df) < 0.12  # queries descend: an eighth of a tree or less
+    assert recall(by_query(nearest(df)), want) >= 0.9
+    # a smaller share finds less, and queries ascend past small blocks
+    assert 0.5 < recall(by_query(nearest(df, share=0.02, part=100)), want) < 0.9
 
 
 def test_recall_on_vectors_of_unequal_length_in_clusters(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((60, 32))
-    vectors = (centres[rng.integers(0, 60, 3000)] + 0.3 * rng.standard_normal((3000, 32))) * rng.uniform(0.7, 1.3, (3000, 1))
-    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert recall(by_query(nearest(df, candidates=8000, part=300)), brute(rows, 20, 20)) > 0.9
+    rows, df = vectors(spark, (centres[rng.integers(0, 60, 3000)] + 0.3 * rng.standard_normal((3000, 32))) * rng.uniform(0.7, 1.3, (3000, 1)))
+    assert measured(df) < 0.05
+    assert recall(by_query(nearest(df, part=300)), brute(rows, 20, 20)) >= 0.9
+
+
+def test_recall_with_one_long_and_many_short_vectors(spark):
+    x = unit(np.random.default_rng(5).standard_normal((2000, 24)))
+    x[77] *= 1000
+    x[100:140] *= 1e-30
+    rows, df = vectors(spark, x)
+    assert measured(df) < 0.2
+    assert recall(by_query(nearest(df)), brute(rows, 20, 20)) >= 0.9
+
+
+def test_recall_with_a_hot_prefix(spark):
+    """A third of all vectors lie so close that they share long prefixes."""
+    rng = np.random.default_rng(6)
+    x = unit(rng.standard_normal((3000, 24)))
+    x[:1000] = unit(x[0] + 0.01 * rng.standard_normal((1000, 24)))
+    rows, df = vectors(spark, x)
+    want, got = brute(rows, 20, 20), by_query(nearest(df, part=200))
+    assert recall(got, want) >= 0.9
+    assert recall({q: r for q, r in got.items() if q < 1000}, {q: r for q, r in want.items() if q < 1000}) >= 0.85
+
+
+def test_keys_and_bands():
+    rng = np.random.default_rng(7)
+    forest, x = Forest(8, 4.0, trees=3), rng.standard_normal((50, 8))
+    x *= (rng.uniform(0.01, 4, 50) / np.linalg.norm(x, axis=1))[:, None]
+    assert forest.bands(x).tolist() == [int(np.floor(-np.log2(n / 4))) for n in np.linalg.norm(x, axis=1)]
+    keys = forest.keys(x, forest.bands(x))
+    bits = np.unpackbits(keys, axis=2)
+    for i in range(50):
+        common = [next((n for n, (a, b) in enumerate(zip(bits[i, t], bits[7, t], strict=True)) if a != b), 128) for t in range(3)]
+        assert _common_bits(keys, keys[7])[i].tolist() == common
 
 
 def test_queries_dealt_over_copies_of_a_part_find_the_same(spark):
@@ -129,7 +177,7 @@ def test_queries_dealt_over_copies_of_a_part_find_the_same(spark):
     queries = index.filter("id % 3 = 0")
     norm = max(float(np.linalg.norm(v)) for _, v in rows)
     found = [
-        sorted(map(tuple, forest_search(index, queries, 5, 8, norm, trees=3, candidates=200, part=50, asking_at_once=n).select("query", "id", "score").collect()))
+        sorted(map(tuple, forest_search(index, queries, 5, Forest(8, norm, 3), 0.1, part=50, asking_at_once=n).select("query", "id", "score").collect()))
         for n in (8192, 7)
     ]
     assert found[0] == found[1] and len(found[0]) == 200 * 5

@@ -3,9 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
-from textloom.llm.secret_scan import BASE_RULES, RULES, digest, scan
-from textloom.llm.trigrams import trigram_query
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from textloom.llm.secret_scan import BASE_RULES, RULES, STRETCH_PARTS, digest, scan
+from textloom.llm.trigrams import finder, trigram_query
 
 PLAIN = {
     "assign": (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6),
@@ -70,3 +75,57 @@ def test_logins_after_other_characters(spark):
     spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "url_login"] for r in found}
     assert spans == {0: [(2, 23)], 1: [(3, 23)], 2: [(1, 13)], 3: [(1, 11)], 4: [(0, 18)], 5: [(0, 8), (8, 18)]}
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_many_matches_in_one_text(spark):
+    """Matches around the ends of stretches; and time in proportion to their number."""
+    for n in (STRETCH_PARTS // 2 - 1, STRETCH_PARTS // 2, STRETCH_PARTS // 2 + 1, STRETCH_PARTS, 1000):
+        check(spark.createDataFrame([(n, "é".join(["0123456789abcdef" * 2, "token=abcdefgh"] * n))], "doc_id long, text string"))
+    text = " ".join(["0123456789abcdef" * 2] * 32_000)  # 1 MB
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = digest(scan(df)).first()
+    assert row["n_hex"] == 32_000 and row["spans"].endswith(f"hex:{len(text) - 32}:{len(text)}")
+    assert time.perf_counter() - began < 20
+
+
+QUERIES = [
+    (r"(?i)Pass(?:word|wd)\s*=", [["ass", "pas", "ssw", "swd"], ["ass", "ord", "pas", "ssw", "swo", "wor"]]),
+    (r"\bfoo\b.bar", [["bar", "foo"]]), (r"[ab]cd?e", [["ace"], ["acd", "cde"], ["bcd", "cde"], ["bce"]]), (r"(?<name>abc)(?=def)x*", [["abc"]]),
+    (r"\x61bc\u0064", [["abc", "bcd"]]), (r"(?:abc)*def", [["def"]]), (r"[^a]bcd", [["bcd"]]), (r"[]x]bcd", [["]bc", "bcd"], ["bcd", "xbc"]]), (r"a.c", None), (r"\Qabc\E", None), (r"ab", None),
+]
+
+
+@pytest.mark.parametrize("pattern,query", QUERIES)
+def test_query_of(pattern, query):
+    assert trigram_query(pattern) == (query if query is None else sorted(query))
+
+
+@pytest.mark.parametrize("pattern", ["(abc", "abc)", "[abc", "abc\\"])
+def test_query_of_no_expression(pattern):
+    with pytest.raises(ValueError):
+        trigram_query(pattern)
+
+
+_atoms = st.sampled_from(["a", "b", "C", "abc", "[ab]", "[^a]", "[a-c]", ".", "\\w", "bca", "-", "\\."])
+
+
+def _grown(inner):
+    joined = st.lists(inner, min_size=1, max_size=4).map("".join)
+    counted = st.tuples(inner, st.sampled_from(["?", "*", "+", "{2}", "{0,2}", "{1,}", "+?"])).map(lambda x: f"(?:{x[0]}){x[1]}")
+    return joined | counted | st.lists(inner, min_size=1, max_size=3).map(lambda x: f"({'|'.join(x)})")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(_atoms, _grown, max_leaves=8), st.text("abcABC-.x", max_size=14))
+def test_no_match_without_its_trigrams(pattern, text):
+    query, low = trigram_query(pattern), text.lower()
+    if query is not None and re.search(pattern, text):
+        assert any(all(t in low for t in alternative) for alternative in query)
+
+
+def test_finder():
+    wanted = ["abc", "bcd", "ab-", "]^a", "a&b", "x\\y", "   "]
+    text = "zabcdab-]^a&bx\\y    abcabc"
+    assert set(re.findall(finder(wanted), text)) == set(wanted)
+    assert re.findall(finder(["aba"]), "ababa") == ["aba", "aba"]

@@ -2,8 +2,9 @@
 
 Each rule's regular expression gives a Boolean trigram query. The index holds
 postings (trigram, document) for the trigrams that the rules ask for, over all
-documents and whole texts; joining it with the queries and keeping documents
-with every trigram of an alternative intersects the postings. Only candidates
+documents and whole texts, which are read once for all trigrams; joining it with
+the queries and keeping documents with every trigram of an alternative intersects
+the postings. Only candidates
 are run through a rule's expression; a rule without mandatory trigrams is run
 over every document.
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import lower_ascii, materialize
-from textloom.llm.trigrams import trigram_query
+from textloom.llm.trigrams import finder, trigram_query
 
 #: Not matched by any rule; one in a text is taken for OTHER, which no rule matches either.
 MARK, OTHER = "\x01", "\x02"
@@ -63,20 +64,40 @@ RULES = BASE_RULES + MORE_RULES
 def candidates(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows doc_id, kinds: the indexed rules that a document may match."""
     asked = [(r.kind, i, t) for r in rules for i, alt in enumerate(trigram_query(r.pattern) or []) for t in alt]
+    if not asked:
+        return documents.select("doc_id", F.lit(None).cast("array<string>").alias("kinds")).limit(0)
     # a fixed table, as large as the rules
     queries = documents.sparkSession.createDataFrame(asked, "kind string, alternative int, trigram string")
     needs = queries.groupBy("kind", "alternative").agg(F.count("*").alias("needed"))
 
     low = documents.select("doc_id", lower_ascii(F.col("text")).alias("low"))
-    held = F.filter(F.array(*[F.lit(t) for t in sorted({t for _, _, t in asked})]), lambda t: F.contains(F.col("low"), t))
+    held = F.array_distinct(F.regexp_extract_all("low", F.lit(finder([t for _, _, t in asked])), F.lit(1)))
     postings = low.select("doc_id", F.explode(held).alias("trigram"))
     hits = postings.join(F.broadcast(queries), "trigram").groupBy("doc_id", "kind", "alternative").agg(F.count_distinct("trigram").alias("n"))
     whole = hits.join(F.broadcast(needs), ["kind", "alternative"]).filter(F.col("n") == F.col("needed"))
     return whole.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _spans(parts: Column, rule: Rule, order: int) -> Column:
-    """Array of structs start, rank, end, kind for one rule, by start; offsets in code points, end exclusive."""
+def _cut(parts: Column) -> Column:
+    """`parts` in stretches of STRETCH_PARTS: structs parts, chars. Texts without a match have one part: no stretch."""
+    stretches = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STRETCH_PARTS).cast("int"))
+    chars = lambda some: F.aggregate(some, F.lit(0), lambda n, part: n + F.char_length(part))
+    cut = F.transform(F.transform(stretches, lambda i: F.slice(parts, i * STRETCH_PARTS + 1, STRETCH_PARTS)), lambda some: F.struct(some.alias("parts"), chars(some).alias("chars")))
+    return F.when(F.size(parts) > 1, cut).otherwise(F.array().cast("array<struct<parts:array<string>,chars:int>>"))
+
+
+def _starts(cut: Column) -> Column:
+    """The offset at which each stretch starts."""
+    step = lambda acc, some: F.struct((acc["at"] + some["chars"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+    return F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda acc: acc["starts"])
+
+
+def _spans(cut: Column, starts: Column, rule: Rule, order: int) -> Column:
+    """Array of structs start, rank, end, kind for one rule, by start; offsets in code points, end exclusive.
+
+    Within a stretch spans are found one after another; as stretches are short, adding to
+    an array costs little, and the work is in proportion to the number of matches.
+    """
     step = lambda acc, part: F.struct(
         (acc["i"] + 1).alias("i"),
         (acc["at"] + F.char_length(part)).cast("int").alias("at"),
@@ -85,11 +106,12 @@ def _spans(parts: Column, rule: Rule, order: int) -> Column:
             F.concat(acc["found"], F.array(_span(acc["at"], part, rule, order))),
         ).otherwise(acc["found"]).alias("found"),
     )
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
-    # most texts have no match: one part
-    return F.when(F.size(parts) <= 1, F.array().cast(SPANS)).otherwise(F.aggregate(parts, start, step, lambda acc: acc["found"]))
+    begin = lambda at: F.struct(F.lit(0).alias("i"), at.alias("at"), F.array().cast(SPANS).alias("found"))
+    return F.flatten(F.zip_with(cut, starts, lambda some, at: F.aggregate(some["parts"], begin(at), step, lambda acc: acc["found"])))
 
 
+#: Even, so that every second part is a match in each stretch.
+STRETCH_PARTS = 128
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -123,8 +145,10 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if trigram_query(rule.pattern) is not None:
             here = F.when(F.array_contains("kinds", rule.kind), here).otherwise(F.array().cast("array<string>"))
         parts.append(here.alias(f"parts_{rule.kind}"))
-    spans = [_spans(F.col(f"parts_{rule.kind}"), rule, order) for order, rule in enumerate(rules)]
-    return joined.select("doc_id", *parts).select("doc_id", F.array_sort(F.concat(*spans)).alias("spans"))
+    cuts = joined.select("doc_id", *parts).select("doc_id", *[_cut(F.col(f"parts_{r.kind}")).alias(f"cut_{r.kind}") for r in rules])
+    begun = cuts.select("*", *[_starts(F.col(f"cut_{r.kind}")).alias(f"starts_{r.kind}") for r in rules])
+    spans = [_spans(F.col(f"cut_{r.kind}"), F.col(f"starts_{r.kind}"), r, order) for order, r in enumerate(rules)]
+    return begun.select("doc_id", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

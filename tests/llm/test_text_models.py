@@ -154,9 +154,75 @@ def test_blocks_grow_so_that_the_schedule_is_bounded(spark):
 
 
 def test_numbers_are_no_letters():
-    model = language_id.Model(["xx"], np.zeros(1), np.zeros((1 << language_id.BUCKET_BITS, 1), np.float32))
-    texts = ["½ ² Ⅷ 7 _", "", None, "中", "7é"]
-    assert model.predict(texts) == (["und", "und", "und", "xx", "xx"], [0.0, 0.0, 0.0, 1.0, 1.0])
+    assert [language_id.has_letter(t) for t in ["½ ² Ⅷ 7 _", "", None, "中", "7é"]] == [False, False, False, True, True]
+
+
+def plain_bayes(labelled, texts):
+    """Multinomial naive Bayes with dictionaries: language and posterior for each text."""
+    bucket = {}
+
+    def of(text):
+        low, out = text.lower(), Counter()
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                g = low[i : i + n]
+                if g not in bucket:
+                    # the last of the buckets of its grams
+                    bucket[g] = int(np.concatenate(list(language_id.grams(g)))[-1])
+                out[bucket[g]] += 1
+        return out
+
+    counts, docs = defaultdict(Counter), Counter()
+    for lang, text in labelled:
+        counts[lang] += of(text)
+        docs[lang] += 1
+    size, found = 1 << language_id.BUCKET_BITS, []
+    for text in texts:
+        grams, logs = of(text), {}
+        for lang in sorted(docs):
+            total = sum(counts[lang].values()) + language_id.SMOOTHING * size
+            logs[lang] = math.log(docs[lang] / sum(docs.values())) + sum(n * math.log((counts[lang][g] + language_id.SMOOTHING) / total) for g, n in grams.items())
+        best = max(logs, key=logs.get)
+        found.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return found
+
+
+@pytest.mark.parametrize("at_once", [256, 3])
+def test_language_against_plain_bayes(spark, monkeypatch, at_once):
+    monkeypatch.setattr(language_id, "LANGUAGES_AT_ONCE", at_once)
+    rows = [(r["lang"], r["text"][:300]) for r in table(spark, SF, "documents").filter("lang is not null and text is not null").orderBy("doc_id").limit(260).collect()]
+    rows = [(f"{lang}{i % 2}", text) for i, (lang, text) in enumerate(rows)]  # eight languages, in pairs hard to tell apart
+    labelled, texts = rows[:200], [t[:40] for _, t in rows[200:] if any(map(str.isalpha, t[:40]))]
+    models = language_id.train(spark.createDataFrame(labelled, "lang string, text string"))
+    assert len(models) == (1 if at_once == 256 else 3)
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), models, ["i"]).orderBy("i").collect()
+    for r, (lang, score) in zip(got, plain_bayes(labelled, texts), strict=True):
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-3)
+
+
+def test_language_memory_at_the_bound():
+    """256 languages and a text of ten million characters."""
+    import tracemalloc
+
+    n = language_id.LANGUAGES_AT_ONCE
+    weights = np.random.default_rng(1).random((1 << language_id.BUCKET_BITS, n), np.float32)
+    model = language_id.Model([str(i) for i in range(n)], np.zeros(n), weights)
+    text = "".join(random.Random(2).choices("abcdefghij é", k=100_000)) * 100
+    tracemalloc.start()
+    logs = model.logs([text, "short", text[:50_000]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+    for i, t in ((1, "short"), (2, text[:50_000])):
+        want = sum(weights[x].sum(axis=0, dtype=np.float64) for x in language_id.grams(t))
+        assert np.allclose(logs[i], want, rtol=1e-9)
+
+
+def test_language_columns_may_have_any_name(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").selectExpr("*", "1 as score", "'x' as lang_pred", "2 as _text", "3 as _best")
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() > 150
+    assert kept.exceptAll(docs).count() == 0
 
 
 @pytest.mark.parametrize("block_chars", [50, 3000, 1 << 16])

@@ -3,8 +3,10 @@
 Every text gives its 1-, 2- and 3-grams of lower-cased characters, hashed into
 2^BUCKET_BITS buckets. Training sums the buckets' counts for each language over
 all labelled rows, in the tasks and then in Spark; the matrix of log
-probabilities, languages x buckets, is broadcast; scoring gathers the rows of a
-batch of texts from it and adds them up text by text.
+probabilities, languages x buckets, is broadcast; scoring is sparse: a batch of
+texts looks up the rows of the buckets that it has, a long text each of them once,
+with its count. Languages beyond LANGUAGES_AT_ONCE have further matrices, which
+texts pass one after another; what each finds best adds up to the whole posterior.
 """
 
 from __future__ import annotations
@@ -17,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import materialize
+
 BUCKET_BITS = 15
 SMOOTHING = 0.5
-#: Bounds the matrix: 256 languages x 2^15 buckets x 4 bytes are 32 MB.
-MAX_LANGUAGES = 256
+#: Bounds a matrix: 256 languages x 2^15 buckets x 4 bytes are 32 MB.
+LANGUAGES_AT_ONCE = 256
+#: Languages whose counts a training task holds before it passes them on: 256 KB each.
+COUNTED_AT_ONCE = 64
 #: Characters of one text that are hashed at once.
 STRETCH = 1 << 20
-#: n-grams of a batch that are looked up at once.
-GRAMS_AT_ONCE = 1 << 20
+#: Cells, n-grams x languages, that are looked up at once.
+CELLS_AT_ONCE = 1 << 22
 UNDETERMINED = "und"
 ORDER = 3
 
@@ -45,18 +51,27 @@ def grams(text: str) -> Iterator[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, bucket, n; bucket -1 has the number of texts."""
     counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(1 << BUCKET_BITS, np.int64))
     texts: dict[str, int] = defaultdict(int)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, n in texts.items():
+            used = np.flatnonzero(counts[lang])
+            buckets, values = np.concatenate(([-1], used)), np.concatenate(([n], counts[lang][used]))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(buckets)), pa.array(buckets), pa.array(values)], ["lang", "bucket", "n"])
+        counts.clear()
+        texts.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             lang = lang.as_py()
+            if lang not in texts and len(texts) >= COUNTED_AT_ONCE:
+                yield from flush()
             texts[lang] += 1
             for x in grams(text.as_py()):
                 counts[lang] += np.bincount(x, minlength=1 << BUCKET_BITS)
-    for lang, n in texts.items():
-        used = np.flatnonzero(counts[lang])
-        buckets, values = np.concatenate(([-1], used)), np.concatenate(([n], counts[lang][used]))
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(buckets)), pa.array(buckets), pa.array(values)], ["lang", "bucket", "n"])
+    yield from flush()
 
 
 class Model:
@@ -65,11 +80,10 @@ class Model:
     def __init__(self, languages: list[str], prior: np.ndarray, weights: np.ndarray):
         self.languages, self.prior, self.weights = languages, prior, weights
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        languages, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        if not self.languages:
-            return languages, scores
+    def logs(self, texts: list[str]) -> np.ndarray:
+        """Texts x languages: log of prior times likelihood."""
         totals = np.tile(self.prior, (len(texts), 1))
+        most = max(1, CELLS_AT_ONCE // len(self.languages))
         pending: list[tuple[int, np.ndarray]] = []
         size = 0
 
@@ -80,68 +94,92 @@ class Model:
             np.add.at(totals, rows, sums)
             pending.clear()
 
-        judged = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
-        for i in judged:
-            for x in grams(texts[i]):
-                if len(x):
+        for i, text in enumerate(texts):
+            for x in grams(text):
+                if len(x) > min(most, 1 << BUCKET_BITS):
+                    # a long text: each of its buckets once, by count
+                    n = np.bincount(x, minlength=1 << BUCKET_BITS)
+                    used = np.flatnonzero(n)
+                    for at in range(0, len(used), most):
+                        some = used[at : at + most]
+                        totals[i] += n[some] @ self.weights[some].astype(np.float64)
+                elif len(x):
+                    if size + len(x) > most and pending:
+                        add()
+                        size = 0
                     pending.append((i, x))
                     size += len(x)
-                if size > GRAMS_AT_ONCE:
-                    add()
-                    size = 0
         if pending:
             add()
-        best = totals.argmax(axis=1)
-        share = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
-        for i in judged:
-            languages[i], scores[i] = self.languages[best[i]], float(share[i])
-        return languages, scores
+        return totals
+
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
 
-def train(labelled: DataFrame) -> Model:
-    """A model of the columns text and lang; rows with a null in either are left out.
 
-    All rows count. What reaches the driver is at most MAX_LANGUAGES x 2^BUCKET_BITS
-    sums. Without rows the model knows no language and finds every text
-    undetermined. More than MAX_LANGUAGES different labels are an error.
+def train(labelled: DataFrame) -> list[Model]:
+    """A model of the columns text and lang for each LANGUAGES_AT_ONCE languages; rows with a null in either are left out.
+
+    All rows count, and are read once. What reaches the driver at a time are at most
+    LANGUAGES_AT_ONCE x 2^BUCKET_BITS sums. Without rows there is no model, and every
+    text is undetermined.
     """
     rows = labelled.select("lang", "text").filter("lang is not null and text is not null")
     sums = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r["lang"] for r in sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not languages:
-        return Model([], np.zeros(0), np.zeros((1 << BUCKET_BITS, 0), np.float32))
-    found = sums.toArrow()
-    index = {x: i for i, x in enumerate(languages)}
-    row = np.array([index[x] for x in found["lang"].to_pylist()])
-    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
-    counts, texts = np.zeros((len(languages), 1 << BUCKET_BITS)), np.zeros(len(languages))
-    counts[row[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
-    texts[row[bucket < 0]] = n[bucket < 0]
-    weights = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * counts.shape[1])
-    return Model(languages, np.log(texts / texts.sum()), np.ascontiguousarray(weights.T, dtype=np.float32))
-
-
-def predict(texts: DataFrame, model: Model, key_columns: list[str]) -> DataFrame:
+    sums = materialize(sums.select("lang", F.col("bucket").cast("int").alias("bucket"), "n"))
+    found = sums.filter("bucket = -1").select("lang", "n").toArrow().sort_by("lang").to_pylist()
+    texts = sum(r["n"] for r in found)
+    models = []
+    for at in range(0, len(found), LANGUAGES_AT_ONCE):
+        some = found[at : at + LANGUAGES_AT_ONCE]
+        numbers = labelled.sparkSession.createDataFrame([(r["lang"], i) for i, r in enumerate(some)], "lang string, row int")
+        cells = sums.filter("bucket >= 0").join(F.broadcast(numbers), "lang").select("row", "bucket", "n").toArrow()
+        counts = np.zeros((1 << BUCKET_BITS, len(some)))
+        counts[cells["bucket"].to_numpy(), cells["row"].to_numpy()] = cells["n"].to_numpy()
+        totals = counts.sum(axis=0) + SMOOTHING * len(counts)
+        counts += SMOOTHING
+        np.log(counts, out=counts)
+        counts -= np.log(totals)
+        models.append(Model([r["lang"] for r in some], np.log([r["n"] / texts for r in some]), counts.astype(np.float32)))
+    return models
+
+
+def predict(texts: DataFrame, models: list[Model], key_columns: list[str]) -> DataFrame:
     """`key_columns`, lang_pred and score for every row; only the column text is looked at.
 
     A text that is null or has no letter is `und` with score 0; otherwise score is
-    the posterior probability of the language.
+    the posterior probability of the language, ties going to the first by name.
+    Columns of any name may be keys.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            languages, scores = shared.value.predict(batch.column("_text").to_pylist())
-            keys = [batch.column(f"_key_{i}") for i in range(len(key_columns))]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names)
-
-    names = [*key_columns, "lang_pred", "score"]
-    slim = texts.select(*[F.col(c).alias(f"_key_{i}") for i, c in enumerate(key_columns)], F.col("text").alias("_text"))
-    kinds = [texts.schema[c].dataType.simpleString() for c in key_columns]
-    schema = ", ".join(f"`{c}` {k}" for c, k in zip(names, [*kinds, "string", "double"], strict=True))
-    return slim.mapInArrow(run, schema)
+    keys = [f"_key_{i}" for i in range(len(key_columns))]
+    slim = texts.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(key_columns, keys, strict=True)], F.col("text").alias("_text"))
+    # the best language so far, its log, and the sum of all likelihoods divided by its own
+    found = slim.withColumns({"_best": F.lit(None).cast("string"), "_log": F.lit(float("-inf")), "_sum": F.lit(0.0)})
+
+    def judge(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column("_text").to_pylist()
+        best, log, total = (batch.column(c).to_pylist() for c in ("_best", "_log", "_sum"))
+        judged = [i for i, t in enumerate(text) if has_letter(t)]
+        if judged:
+            logs = model.logs([text[i] for i in judged])
+            at = logs.argmax(axis=1)
+            top = logs[np.arange(len(at)), at]
+            sums = np.exp(logs - top[:, None]).sum(axis=1)
+            for n, i in enumerate(judged):
+                if top[n] > log[i]:
+                    total[i] = float(sums[n]) + total[i] * float(np.exp(log[i] - top[n]))
+                    best[i], log[i] = model.languages[at[n]], float(top[n])
+                else:
+                    total[i] += float(sums[n] * np.exp(top[n] - log[i]))
+        columns = [pa.array(best, pa.string()), pa.array(log, pa.float64()), pa.array(total, pa.float64())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-3], *columns], names=batch.schema.names)
+
+    for model in models:
+        shared = texts.sparkSession.sparkContext.broadcast(model)
+        found = found.mapInArrow(lambda batches, shared=shared: (judge(shared.value, b) for b in batches), found.schema)
+    last = [F.coalesce("_best", F.lit(UNDETERMINED)), F.when(F.col("_best").isNotNull(), 1 / F.col("_sum")).otherwise(0.0)]
+    return found.select(*keys, *last).toDF(*key_columns, "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -156,14 +194,16 @@ def identify(documents: DataFrame) -> DataFrame:
     out. Repeated rows give repeated results; an empty table gives no rows; other
     columns are not read.
     """
-    model = train(documents.filter(~held_out()))
+    models = train(documents.filter(~held_out()))
     rows = documents.select("doc_id", held_out().alias("held_out"), "text")
-    return predict(rows, model, ["doc_id", "held_out"])
+    return predict(rows, models, ["doc_id", "held_out"])
 
 
 def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
     """`documents` without those whose language is undetermined or scores below `least`."""
-    model = train(documents.filter(~held_out()))
+    models = train(documents.filter(~held_out()))
     columns = documents.columns
-    found = predict(documents, model, columns)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*columns)
+    # columns may be called lang_pred or score as well
+    found = predict(documents, models, columns).toDF(*[f"_{i}" for i in range(len(columns))], "_lang", "_score")
+    found = found.filter((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least))
+    return found.drop("_lang", "_score").toDF(*columns)

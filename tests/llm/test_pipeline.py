@@ -8,7 +8,8 @@ import corpus_pipeline
 from textloom.llm.common import materialize, table
 from textloom.llm.language_id import held_out, predict, train
 
-from .test_dedup import plain_lines, plain_simhash
+from .test_dedup import plain_lines
+from .test_near_dedup import plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,7 +51,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
-    keep = {c for _, _, c in plain_simhash([(r["doc_id"], r["text"]) for r in before.collect()])}
+    keep = set(plain([(r["doc_id"], r["text"]) for r in before.collect()])[0].values())
     assert rows(after) == rows(before.filter(before["doc_id"].isin(keep)))
 
 

@@ -32,3 +32,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if at.join(new.withColumnRenamed("label", "new"), "node").filter("label <> new").isEmpty():
             return new.withColumnRenamed("label", "component")
         at = new
+
+
+def one_of_each(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of `documents` for each group, that with the smallest doc_id; null ids come last.
+
+    `rows` has doc_id, text_hash (xxhash64 of the text) and group for every row. Where
+    rows agree in id and text, any one of them stays.
+    """
+    rows = materialize(rows)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    kept = rows.groupBy("group").agg(least.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    times = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_times"))
+    kept = kept.join(times, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_hash").eqNullSafe(F.col("text_hash"))).select("_id", "_hash", "_times")
+    kept = materialize(kept)
+    named = documents.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(documents.columns)])
+    doc, text = (F.col(f"in_{documents.columns.index(c)}") for c in ("doc_id", "text"))
+    same = doc.eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_hash"))
+    single = named.join(kept.filter("_times = 1"), same, "left_semi")
+    several = named.join(kept.filter("_times > 1"), same).dropDuplicates(["_id", "_hash"]).select(*named.columns)
+    return single.unionByName(several).toDF(*documents.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize
-from textloom.llm.components import components
+from textloom.llm.components import components, one_of_each
 
 BITS = 64
 RADIUS = 2
@@ -67,20 +67,20 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         values = [fingerprint(t.as_py()) for t in batch.column("text")]
         signed = pa.array(np.array(values, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), signed], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """Rows doc_id, fp: the fingerprint as a signed long, for every row."""
-    docs = documents.select("doc_id", "text")
-    return docs.mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    """Rows doc_id, text_hash, fp: a hash of the text, and the fingerprint as a signed long, for every row."""
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return docs.mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
-def masks(radius: int = RADIUS) -> list[int]:
+def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     """The covering masks; position i carries the non-zero vector i mod (2^(radius+1) - 1) + 1."""
     n = (1 << (radius + 1)) - 1
-    carried = [i % n + 1 for i in range(BITS)]
-    return [sum(1 << i for i in range(BITS) if (carried[i] & v).bit_count() % 2) for v in range(1, n + 1)]
+    carried = [i % n + 1 for i in range(bits)]
+    return [sum(1 << i for i in range(bits) if (carried[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def _signed(x: int) -> int:
@@ -126,6 +126,18 @@ def links(nodes: DataFrame, radius: int = RADIUS, small_entry: int = SMALL_ENTRY
     return near.unionByName(files).distinct()
 
 
+def _grouped(documents: DataFrame, radius: int) -> DataFrame:
+    """One row per input row: doc_id, text_hash, fp, the component's node, component_id."""
+    each = materialize(fingerprints(documents))
+    # a node is named by its smallest doc_id; ids may repeat over fingerprints, so the fingerprint completes the name
+    node = F.struct(F.col("first").isNull().alias("no_id"), F.col("first").alias("id"), F.col("fp").alias("fp"))
+    nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", node.alias("node")))
+    found = components(links(nodes, radius)).select(F.col("node.fp").alias("linked_fp"), "component")
+    named = nodes.join(found, F.col("fp") == F.col("linked_fp"), "left")
+    named = materialize(named.select("fp", F.coalesce("component", "node").alias("component")))
+    return each.join(named, "fp").select("doc_id", "text_hash", "fp", "component", F.col("component.id").alias("component_id"))
+
+
 def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id.
 
@@ -137,23 +149,13 @@ def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     the component is null. Repeated rows give repeated results. An empty table
     gives no rows; columns other than doc_id and text are not read.
     """
-    each = materialize(fingerprints(documents))
-    # a node is named by its smallest doc_id; ids may repeat over fingerprints, so the fingerprint completes the name
-    node = F.struct(F.col("first").isNull().alias("no_id"), F.col("first").alias("id"), F.col("fp").alias("fp"))
-    nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", node.alias("node")))
-    found = components(links(nodes, radius)).select(F.col("node.fp").alias("linked_fp"), F.col("component.id").alias("reached"))
-    named = nodes.join(found, F.col("fp") == F.col("linked_fp"), "left").select(
-        "fp", F.when(F.col("linked_fp").isNotNull(), F.col("reached")).otherwise(F.col("node.id")).alias("component_id")
-    )
-    named = materialize(named)
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(documents, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_component(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """`documents` without near-duplicates: of each component the rows with the smallest doc_id stay.
+    """`documents` without near-duplicates: of each component one row stays, that with the smallest doc_id.
 
-    Rows with a null doc_id stay only if nothing linked to them has an id.
+    A row with a null doc_id stays only if no row of its component has one. Of rows
+    that have the same id, or repeat as a whole, one stays.
     """
-    found = simhash_components(documents.select("doc_id", "text"), radius)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return documents.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return one_of_each(documents, _grouped(documents, radius).select("doc_id", "text_hash", F.col("component").alias("group")))

@@ -2,9 +2,10 @@
 
 Each rule's regular expression gives a Boolean trigram query. The index holds
 postings (trigram, document) for the trigrams that the rules ask for, over all
-documents and whole texts, which are read once for all trigrams; joining it with
-the queries and keeping documents with every trigram of an alternative intersects
-the postings. Only candidates
+documents and whole texts. A text has postings for an alternative's trigrams only if
+it has the rarest of them, so that most trigrams needn't be looked for in most texts;
+joining the index with the queries and keeping documents with every trigram of an
+alternative intersects the postings. Only candidates
 are run through a rule's expression; a rule without mandatory trigrams is run
 over every document.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import lower_ascii, materialize
-from textloom.llm.trigrams import finder, trigram_query
+from textloom.llm.trigrams import rarest_first, trigram_query
 
 #: Not matched by any rule; one in a text is taken for OTHER, which no rule matches either.
 MARK, OTHER = "\x01", "\x02"
@@ -71,7 +72,10 @@ def candidates(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
     needs = queries.groupBy("kind", "alternative").agg(F.count("*").alias("needed"))
 
     low = documents.select("doc_id", lower_ascii(F.col("text")).alias("low"))
-    held = F.array_distinct(F.regexp_extract_all("low", F.lit(finder([t for _, _, t in asked])), F.lit(1)))
+    holds = lambda t: F.contains(F.col("low"), t)
+    alternatives = sorted({tuple(rarest_first(alt)) for r in rules for alt in trigram_query(r.pattern) or []})
+    each = [F.when(holds(F.lit(alt[0])), F.filter(F.array(*map(F.lit, alt)), holds)) for alt in alternatives]
+    held = F.array_distinct(F.flatten(F.array_compact(F.array(*each))))
     postings = low.select("doc_id", F.explode(held).alias("trigram"))
     hits = postings.join(F.broadcast(queries), "trigram").groupBy("doc_id", "kind", "alternative").agg(F.count_distinct("trigram").alias("n"))
     whole = hits.join(F.broadcast(needs), ["kind", "alternative"]).filter(F.col("n") == F.col("needed"))

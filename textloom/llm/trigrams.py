@@ -194,11 +194,11 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
     return sorted(sorted(x) for x in found.query)
 
 
-def finder(trigrams: list[str]) -> str:
-    """An expression whose group 1 is a trigram of the list, for every place in a text where one begins."""
-    tree: dict[str, dict[str, list[str]]] = {}
-    for a, b, c in sorted(set(trigrams)):
-        tree.setdefault(a, {}).setdefault(b, []).append(c)
-    one = lambda cs: "[" + "".join(map(re.escape, cs)) + "]"
-    each = (f"{re.escape(a)}(?:{'|'.join(re.escape(b) + one(cs) for b, cs in seconds.items())})" for a, seconds in tree.items())
-    return f"(?=({'|'.join(each)})){one(tree)}"
+#: Letters from frequent to rare in prose, the blank first.
+FREQUENT = " etaoinsrhldcumfpgwybvkxjqz"
+
+
+def rarest_first(trigrams: list[str]) -> list[str]:
+    """The trigrams by how rare they are in prose, by their characters; those with other characters first."""
+    rank = lambda t: sum(len(FREQUENT) + 1 if c not in FREQUENT else FREQUENT.index(c) for c in t)
+    return sorted(trigrams, key=lambda t: (-rank(t), t))

@@ -95,3 +95,16 @@ def test_numbering_and_running_totals(spark):
     got = running_totals(df, ["k"], F.floor(F.col("a") / 10), ["a"], {"before": "a"})
     for r in got.collect():
         assert r["before"] == sum(a for a, k in rows if k == r["k"] and a < r["a"])
+
+
+def test_many_chunks_of_one_source(spark):
+    """Stretches of records end inside chunks and at their ends; time in proportion to the records."""
+    import time
+
+    rng = random.Random(9)
+    texts = ["\n".join("x" * rng.randrange(1, 9) for _ in range(n)) for n in (255, 256, 257, 512, 1300)]
+    for budget in (1, 7, 40, 3000):
+        assert both(spark, texts, "\n", budget) == plain(texts, "\n", budget)
+    began = time.perf_counter()
+    assert chunk_texts(from_text(spark, "\n".join(["abc"] * 80_000)), "\n", 5).count() == 80_000
+    assert time.perf_counter() - began < 20

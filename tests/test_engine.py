@@ -12,7 +12,7 @@ from textloom.artifacts import Artifact, checksums, install, verify
 from textloom.model import Config, Request
 from textloom.operators.schema import fields_schema, prepare
 from textloom.plans.engine import Engine, ExtractionError, NoInput, extract_groups
-from textloom.plans.extractors import JsonExtractor, ModelExtractor, ReplayExtractor, RuleExtractor, json_items, rule_table, typed
+from textloom.plans.extractors import JsonExtractor, ModelExtractor, ReplayExtractor, RuleExtractor, first_bytes, json_items, rule_table, typed
 from textloom.sinks.json import ArrayWriter, array_documents, write_array, write_document, write_lines
 from textloom.sources.text import from_column, from_files, from_text, large_file, whole
 from textloom.streaming.stream import extract_stream, file_stream
@@ -300,3 +300,53 @@ def test_artifacts(spark, tmp_path):
         install(tmp_path / "src", tmp_path / "other", Artifact("w.bin", len(data), "0" * 64))
     assert sorted(x.name for x in (tmp_path / "other").iterdir()) == []
     assert checksums(spark, str(tmp_path / "cache")).first()["sha256"] == a.sha256
+
+
+def test_relative_paths_folders_and_mixed_lists(spark, tmp_path):
+    import os
+
+    folder = os.path.relpath(tmp_path)
+    (tmp_path / "access.log").write_text("\n".join(lines(3)))
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "b.txt").write_text("b")
+    (tmp_path / "more" / "a.txt").write_text("a")
+    (tmp_path / "none").mkdir()
+    mixed = [f"{folder}/access.log", str(tmp_path / "access.log"), f"file://{tmp_path}/more", f"{folder}/more/b.txt"]
+    got = [(r["source_index"], r["content"]) for r in from_files(spark, mixed).orderBy("source_index").collect()]
+    log = "\n".join(lines(3))
+    assert got == [(0, log), (1, log), (2, "a"), (3, "b"), (4, "b")]
+    with pytest.raises(FileNotFoundError):
+        from_files(spark, [f"{folder}/none"])
+    out = io.StringIO()
+    assert cli.run(["--extractor", r"rule:^(?<host>\S+) is (?<status>\w+)", "--fields", "host,status", f"{folder}/access.log"], io.StringIO(), out, io.StringIO(), spark) == 0
+    assert json.loads(out.getvalue()) == hosts(3)
+
+
+@pytest.mark.parametrize("max_tokens", [7, 10, 11, 12, 16])
+def test_outputs_cut_inside_a_character_are_tried_again(spark, max_tokens):
+    text = "\n".join(["é😀ü is on", "日本語 is off", "ab😀 is up", "ñññññ is no"])
+    done = Engine(STATUS, Config(context=700)).attempt(from_text(spark, text), Request(SCHEMA, max_tokens=max_tokens))
+    left = iter(tuple(r.split(" is ")) for r in text.split("\n"))
+    kept = [(v["host"], v["status"]) for v in values(done)]
+    # a record whose output doesn't fit by itself is cut until nothing of it matches
+    assert all(k in left for k in kept) and done.error is None
+    assert len(kept) == 4 or max_tokens < 16
+
+
+def test_first_bytes(spark):
+    text = "aé日😀z"
+    df = spark.createDataFrame([(text,)], "t string")
+    for n in range(1, len(text.encode()) + 2):
+        assert df.select(first_bytes(F.col("t"), n)).first()[0] == text.encode()[:n].decode("utf-8", "ignore")
+
+
+def test_a_model_is_told_the_shape(spark):
+    class Answer:
+        prompt_tokens, generated_tokens, hit_limit, failure = 1, 1, False, None
+
+        def __init__(self, raw):
+            self.raw = raw
+
+    load = lambda: lambda prompt, most, schema=None: Answer(json.dumps([schema is not None]))
+    for enforce in (True, False):
+        assert values(Engine(ModelExtractor(load), Config(enforce_shape=enforce)).extract(from_text(spark, "x"), Request('{"type":"array"}'))) == [enforce]

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a default of our own only where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
+    """spark.checkpoint.dir. Only on a single machine there is a default of our own; on a cluster nobody else could read it."""
+    conf = spark.sparkContext.getConf()
+    if found := conf.get("spark.checkpoint.dir"):
+        return found
+    if not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ class Request:
 
 @dataclass(frozen=True)
 class Config:
-    """context: tokens of prompt and output together. enforce_shape: false keeps raw output as it comes (it is still validated)."""
+    """context: tokens of prompt and output together. enforce_shape: whether a model is told to keep to the schema; output is validated in any case."""
 
     context: int = 8192
     enforce_shape: bool = True

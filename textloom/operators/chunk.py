@@ -32,9 +32,18 @@ def records(sources: DataFrame, delimiter: str, key: str = "source_index", conte
     return cut.filter("record <> ''").select(key, "record_pos", checked.cast("string").alias("record"), size.alias("n_bytes"))
 
 
+#: Records that are folded into one list of chunks; these lists are then put together.
+STRETCH = 256
+
+
 def chunk_bounds(sizes: Column, budget: int) -> Column:
-    """Array of structs from, to: where each chunk of these record sizes begins and ends, `to` exclusive."""
-    state = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("i"), F.lit(0).alias("from"), F.array().cast("array<struct<from:int,to:int>>").alias("done"))
+    """Array of structs from, to: where each chunk of these record sizes begins and ends, `to` exclusive.
+
+    Adding to an array copies it; so records are folded in stretches, each with a
+    short array of its own, and the work is in proportion to the number of records.
+    """
+    bounds = "array<struct<from:int,to:int>>"
+    state = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("i"), F.lit(0).alias("from"), F.array().cast(bounds).alias("done"))
 
     def add(s: Column, size: Column) -> Column:
         full = (s["i"] > s["from"]) & (s["cur"] + size > budget)
@@ -45,10 +54,19 @@ def chunk_bounds(sizes: Column, budget: int) -> Column:
             F.when(full, F.array_append(s["done"], F.struct(s["from"].alias("from"), s["i"].alias("to")))).otherwise(s["done"]).alias("done"),
         )
 
+    def add_stretch(s: Column, stretch: Column) -> Column:
+        begin = F.struct(s["last"]["cur"].alias("cur"), s["last"]["i"].alias("i"), s["last"]["from"].alias("from"), F.array().cast(bounds).alias("done"))
+        # an array of one, so that the fold is made once and used twice
+        folded = F.transform(F.array(F.aggregate(stretch, begin, add)), lambda last: F.struct(last.alias("last"), F.array_append(s["all"], last["done"]).alias("all")))
+        return F.get(folded, F.lit(0))
+
     def finish(s: Column) -> Column:
-        return F.when(s["i"] > s["from"], F.array_append(s["done"], F.struct(s["from"].alias("from"), s["i"].alias("to")))).otherwise(s["done"])
+        last = F.array(F.struct(s["last"]["from"].alias("from"), s["last"]["i"].alias("to")))
+        return F.concat(F.flatten(s["all"]), F.when(s["last"]["i"] > s["last"]["from"], last).otherwise(F.array().cast(bounds)))
 
-    return F.aggregate(sizes, state, add, finish)
+    starts = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / STRETCH).cast("int"))).otherwise(F.array().cast("array<int>"))
+    stretches = F.transform(starts, lambda i: F.slice(sizes, i * STRETCH + 1, STRETCH))
+    return F.aggregate(stretches, F.struct(state.alias("last"), F.array().cast(f"array<{bounds}>").alias("all")), add_stretch, finish)
 
 
 def chunk_texts(sources: DataFrame, delimiter: str, budget: int, key: str = "source_index", content: str = "content") -> DataFrame:
@@ -59,12 +77,12 @@ def chunk_texts(sources: DataFrame, delimiter: str, budget: int, key: str = "sou
     is that of the records before. A null content has no chunks.
     """
     parts = F.filter(split_literal(F.col(content), delimiter), lambda r: r != "")
-    bounds = chunk_bounds(F.transform("_parts", lambda r: n_bytes(r)), budget)
+    bounds = chunk_bounds(F.col("_sizes"), budget)
     cut = F.transform("_bounds", lambda b: F.slice(F.col("_parts"), b["from"] + 1, b["to"] - b["from"]))
     chunk = lambda p: F.struct(
         trim_space(F.array_join(p, delimiter)).alias("text"), F.aggregate(p, F.lit(0).cast("long"), lambda a, r: a + n_bytes(r)).alias("n_bytes"), F.size(p).cast("long").alias("n_records")
     )
-    rows = sources.select(key, parts.alias("_parts")).withColumn("_bounds", bounds).withColumn("_chunks", F.transform(cut, chunk))
+    rows = sources.select(key, parts.alias("_parts")).withColumn("_sizes", F.transform("_parts", lambda r: n_bytes(r))).withColumn("_bounds", bounds).withColumn("_chunks", F.transform(cut, chunk))
     rows = rows.select(key, F.posexplode(F.filter("_chunks", lambda c: c["text"] != "")).alias("chunk_in_source", "c"))
     return rows.select(key, "chunk_in_source", "c.text", "c.n_bytes", "c.n_records")
 

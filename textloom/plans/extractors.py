@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from inspect import signature
 from typing import Protocol
 
 import pyarrow as pa
@@ -44,14 +45,21 @@ class Extractor(Protocol):
     def run(self, chunks: DataFrame, request: Request, config: Config, prepared: PreparedSchema) -> DataFrame: ...
 
 
+def first_bytes(text: Column, n: int) -> Column:
+    """The characters of `text` that are whole within its first `n` bytes."""
+    # a character that is cut becomes one replacement character
+    most = F.char_length(F.make_valid_utf8(F.substring(text.cast("binary"), 1, n).cast("string")))
+    begin = F.substring(text, F.lit(1), most)
+    return F.when(F.octet_length(begin) > n, F.substring(text, F.lit(1), most - 1)).otherwise(begin)
+
+
 def limited(chunks: DataFrame, raw: Column, request: Request, config: Config) -> DataFrame:
     """The extractor's columns for a raw output that is known at once, under the token limits of a model."""
     asked = PROMPT_TOKENS + count_tokens(F.col("text"))
     wanted = count_tokens(F.col("_raw"))
     too_long = asked + request.max_tokens > config.context
-    room = int(request.max_tokens * BYTES_PER_TOKEN)
     # cut by bytes, as a model stops in the middle of things
-    cut = F.when(wanted >= request.max_tokens, F.decode(F.substring(F.col("_raw").cast("binary"), 1, room), "UTF-8")).otherwise(F.col("_raw"))
+    cut = F.when(wanted >= request.max_tokens, first_bytes(F.col("_raw"), int(request.max_tokens * BYTES_PER_TOKEN))).otherwise(F.col("_raw"))
     return chunks.withColumn("_raw", raw).withColumns(
         {
             "raw": F.when(~too_long, cut),
@@ -126,17 +134,22 @@ class Generation(Protocol):
 
 @dataclass(frozen=True)
 class ModelExtractor:
-    """A language model. `load` gives, once for each Python worker, a function of prompt and max_tokens to a Generation."""
+    """A language model. `load` gives, once for each Python worker, a function of prompt and max_tokens to a Generation.
+
+    If the function has a parameter called schema, it gets the JSON Schema that its
+    output is to be held to, or None if the configuration doesn't enforce a shape.
+    """
 
-    load: Callable[[], Callable[[str, int], Generation]]
+    load: Callable[[], Callable[..., Generation]]
 
     def run(self, chunks: DataFrame, request: Request, config: Config, prepared: PreparedSchema) -> DataFrame:
-        load, most = self.load, request.max_tokens
+        load, most, schema = self.load, request.max_tokens, prepared.text if config.enforce_shape else None
 
         def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = load()
+            shape = {"schema": schema} if "schema" in signature(model).parameters else {}
             for batch in batches:
-                found = [model(p, most) for p in batch.column("_prompt").to_pylist()]
+                found = [model(p, most, **shape) for p in batch.column("_prompt").to_pylist()]
                 columns = {c: batch.column(c) for c in batch.schema.names if c != "_prompt"}
                 columns |= {name: pa.array([getattr(g, name) for g in found], kind) for name, kind in ADDED}
                 yield pa.RecordBatch.from_pydict(columns)

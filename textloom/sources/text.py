@@ -15,17 +15,29 @@ def from_text(spark: SparkSession, *texts: str, names: tuple[str, ...] = ()) ->
 
 
 def from_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Whole files, one row each, in the order of `paths`; a path that isn't there is an error when Spark reads it.
+    """Whole files, one row each, in the order of `paths`; a path that isn't there, or has no file, is an error.
 
-    Spark reads files in an order of its own, so that each is joined with its place
-    in the list. A path given twice is two sources.
+    Paths may be relative, have a scheme or not, and name folders or patterns, whose
+    files follow one another by name. A path given twice is two sources. Spark reads
+    files in an order of its own, so that each is joined with its place in the list;
+    Spark itself says what a path stands for.
     """
-    wanted = spark.createDataFrame(list(enumerate(paths)), "source_index int, source_name string")
-    read = spark.read.text(sorted(set(paths)), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    # file_path is a URI; a listed path is matched by its end, after the scheme
-    bare = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z]+:/*", "/")
-    given = F.regexp_replace("source_name", r"^[a-z]+:/*", "/")
-    return wanted.join(read, given == bare).select("source_index", "source_name", "content")
+    places, listed = [], {}
+    for path in paths:
+        if path not in listed:
+            listed[path] = sorted(spark.read.text(path, wholetext=True).inputFiles())
+            if not listed[path]:
+                raise FileNotFoundError(f"no file in {path}")
+        places += [(path, file) for file in listed[path]]
+    rows = [(i, path if len(listed[path]) == 1 else file, file) for i, (path, file) in enumerate(places)]
+    wanted = spark.createDataFrame(rows, "source_index int, source_name string, _file string")
+    read = spark.read.text(sorted(listed), wholetext=True).select(F.input_file_name().alias("_path"), F.col("value").alias("content"))
+    # a file that two paths name is read twice
+    read = read.dropDuplicates(["_path"]) if len(set(file for _, file in places)) < sum(map(len, listed.values())) else read
+    # Spark passes empty files over; one that it reads must have its place
+    joined = wanted.join(read, F.col("_file") == F.col("_path"), "full_outer")
+    found = F.when(F.col("_file").isNull(), F.raise_error(F.concat(F.lit("file without a place: "), "_path"))).otherwise(F.coalesce("content", F.lit("")))
+    return joined.select("source_index", "source_name", found.cast("string").alias("content"))
 
 
 def from_column(df: DataFrame, key: str, content: str) -> DataFrame:

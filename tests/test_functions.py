@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions.json import add_canonical, flat_rows, last_key_wins, strict_json
+from textloom.functions.json import add_canonical, last_key_wins, opened_rows, strict_json
 from textloom.functions.text import decode_delimiter, encode_delimiter, human_size, ratio, split_literal, trim_space
 
 
@@ -87,7 +87,13 @@ def test_canonical(spark):
     assert got[2:] == ["1.2345678901234568e+16", None, None, None, '"é"']
 
 
-def test_flat_rows(spark):
-    df = spark.createDataFrame([(1, '{"a":{"x":1,"y":[{"z":2}]},"b":"t"}'), (2, "{"), (3, None), (4, "5")], "i int, t string")
-    got = {(r["i"], r["path"].replace("\x1f", "/"), None if r["parent"] is None else r["parent"].replace("\x1f", "/"), r["is_object"]) for r in flat_rows(df, ["i"], "t").collect()}
-    assert got == {(1, "", None, True), (1, "/a", "", True), (1, "/a/x", "/a", False), (1, "/a/y", "/a", False), (1, "/b", "", False), (4, "", None, False)}
+def test_opened_rows(spark):
+    texts = [(1, '{"a":{"x":1,"y":[{"z":2}]},"b":"t"}'), (2, "{"), (3, None), (4, "5"), (5, '[{"k":1,"k":2},{"j":0}]'), (6, "[]"), (7, '{"a":1e999}')]
+    rows = opened_rows(spark.createDataFrame(texts, "i int, t string").selectExpr("*", "array('k') as ids"), ["i"], ["t"], "ids").collect()
+    shown = lambda p: p and p.replace("\x1f", "/")
+    got = {(r["i"], r["pos"], shown(r["path"]), shown(r["parent"]), r["is_object"], r["identity"]) for r in rows if r["pos"] >= 0}
+    single = {(1, "", None, True), (1, "/a", "", True), (1, "/a/x", "/a", False), (1, "/a/y", "/a", False), (1, "/b", "", False), (4, "", None, False)}
+    arrays = {(5, 0, "", None, True, "[2.0]"), (5, 0, "/k", "", False, "[2.0]"), (5, 1, "", None, True, None), (5, 1, "/j", "", False, None)}
+    assert got == {(i, 0, *r, None) for i, *r in single} | arrays
+    assert {(r["i"], r["value"]) for r in rows if r["pos"] == -1} == {(1, "other"), (4, "other"), (5, "array"), (6, "array")}
+    assert {r["value"] for r in rows if shown(r["path"]) in ("/a/x", "/a/y")} == {"1.0", '[{"z":2.0}]'}

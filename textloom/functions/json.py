@@ -120,25 +120,54 @@ def _flat(value) -> list[dict]:
     return out
 
 
-def flat_rows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Rows `keys`, path, parent, is_object, value: a JSON value and all members of its objects, at any depth.
+OPENED = pa.schema([("side", pa.string()), ("pos", pa.int32()), ("single", pa.bool_()), ("identity", pa.string()), ("path", pa.string()), ("parent", pa.string()), ("is_object", pa.bool_()), ("value", pa.string())])
 
-    The value itself has the empty path and no parent; values are canonical; arrays
-    are not entered. Null and invalid texts give no rows.
-    """
-    names = [*keys, "path", "parent", "is_object", "value"]
 
+def _read(text: str | None) -> tuple:
+    """A tuple of the value, or none."""
+    try:
+        return () if text is None else (_load(text),)
+    except (ValueError, RecursionError):
+        return ()
+
+
+def _open(values: dict[str, tuple], fields: list[str]) -> Iterator[tuple]:
+    """The rows of OPENED for the texts of one row."""
+    arrays = [isinstance(v[0], list) for v in values.values() if v]
+    for side, v in values.items():
+        if not v:
+            continue
+        is_array = isinstance(v[0], list)
+        yield side, -1, not is_array, None, None, None, None, "array" if is_array else "other"
+        if len(arrays) < len(values) or any(arrays) != all(arrays):
+            continue
+        for pos, record in enumerate(v[0] if is_array else [v[0]]):
+            known = is_array and fields and isinstance(record, dict) and all(f in record for f in fields)
+            identity = _dump([record[f] for f in fields]) if known else None
+            for r in _flat(record):
+                yield side, pos, not is_array, identity, r["path"], r["parent"], r["is_object"], r["value"]
+
+
+def opened_rows(df: DataFrame, keys: list[str], sides: list[str], fields: str) -> DataFrame:
+    """Rows `keys` and OPENED: for the JSON texts in the columns `sides`, their records and all members of objects, at any depth.
+
+    A text that is JSON gives a row of pos -1 whose value says whether it is an array
+    or something else. If all texts of a row are arrays, or none is, each of their
+    elements, or else the text as a whole, is a record: a row of the empty path and of
+    no parent, and one for each member of its objects. Arrays within are not entered.
+    Values are canonical; identity, the same for all rows of a record, is the tuple of
+    the members named in `fields`, if it has them all.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places = [], []
-            for i, t in enumerate(batch.column(text).to_pylist()):
-                if (known := _canonical(t)) is not None:
-                    found = _flat(_load(known))
-                    rows += found
-                    places += [i] * len(found)
+            texts = [batch.column(s).to_pylist() for s in sides]
+            for i, names in enumerate(batch.column(fields).to_pylist()):
+                found = list(_open({s: _read(t[i]) for s, t in zip(sides, texts, strict=True)}, names or []))
+                rows += found
+                places += [i] * len(found)
             columns = [batch.column(k).take(pa.array(places, pa.int64())) for k in keys]
-            kinds = {"path": pa.string(), "parent": pa.string(), "is_object": pa.bool_(), "value": pa.string()}
-            columns += [pa.array([r[n] for r in rows], kind) for n, kind in kinds.items()]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns += [pa.array([r[n] for r in rows], field.type) for n, field in enumerate(OPENED)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *OPENED.names])
 
-    return df.mapInArrow(run, f"{_fields(df, keys)}, path string, parent string, is_object boolean, value string")
+    return df.mapInArrow(run, f"{_fields(df, keys)}, side string, pos int, single boolean, identity string, path string, parent string, is_object boolean, value string")

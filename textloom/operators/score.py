@@ -1,10 +1,11 @@
 """Scoring extracted records against expected ones, as joins.
 
 A sample is one attempt at a case: expected and actual JSON texts, the case's
-identity fields and whether additional fields are allowed. Records of both sides
-are matched by identity or by position; then the members of matched records, at
-any depth, are joined path by path. Differences are rows; counts are aggregates
-of them.
+identity fields and whether additional fields are allowed. One pass reads both
+texts and opens them: a row for each record and for each member of its objects, at
+any depth. Records of both sides are matched by identity or by position, and with
+them, in the same join, their members path by path. Differences are rows; counts
+are aggregates of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.json import STEP, add_canonical, elements, flat_rows, kind, member, strict_json
+from textloom.functions.json import STEP, opened_rows
 from textloom.functions.storage import materialize
 
 KEY = ["case_id", "repetition"]
@@ -22,61 +23,51 @@ COUNTS = [
 ]
 
 
-def _elements(samples: DataFrame, side: str) -> DataFrame:
-    """KEY, pos, record, identity: the records of one side, canonical, where both sides are arrays."""
-    rows = samples.filter(F.col("shape") == "array").select(*KEY, "identity_fields", F.posexplode(elements(F.col(f"{side}_value"))).alias("pos", "v"))
-    fields = F.transform("identity_fields", lambda f: F.to_json(member(F.col("v"), f)))
-    whole = ~F.exists(fields, lambda x: x.isNull()) & (kind(F.col("v")) == "object")
-    # numbers within an identity must compare as doubles, so the tuple is canonical too
-    identity = F.when(whole, F.concat(F.lit("["), F.array_join(fields, ","), F.lit("]")))
-    texts = rows.select(*KEY, "pos", F.to_json("v").alias("record"), identity.alias("identity"))
-    return add_canonical(texts, {"record": "record", "identity": "identity"})
+def _opened(samples: DataFrame) -> DataFrame:
+    """The rows of opened_rows() for both sides, written once: KEY, side, pos, single, identity, path, parent, is_object, value."""
+    return materialize(opened_rows(samples, KEY, ["expected", "actual"], "identity_fields"))
 
 
-def _by_identity(samples: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """KEY of the samples whose records on both sides all have an identity of their own."""
-    asked = samples.filter((F.size("identity_fields") > 0) & (F.col("shape") == "array")).select(*KEY)
-    both = left.unionByName(right, allowMissingColumns=True)
-    twice = both.groupBy(*KEY, "side", "identity").agg(F.count("*").alias("n")).filter("identity is null or n > 1")
-    return asked.join(twice.select(*KEY).distinct(), KEY, "left_anti")
-
-
-def shaped(samples: DataFrame) -> DataFrame:
-    """`samples` with expected_value, actual_value, shape and json_valid.
+def shaped(samples: DataFrame, opened: DataFrame) -> DataFrame:
+    """`samples` with shape and json_valid.
 
     shape is array, single, or which check failed: invalid_expected, invalid_json
     or type (an array against something else).
     """
-    out = samples.withColumn("expected_value", strict_json(F.col("expected"))).withColumn("actual_value", strict_json(F.col("actual")))
-    e, a = kind(F.col("expected_value")), kind(F.col("actual_value"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
+    roots = opened.filter("pos = -1").groupBy(*KEY).agg(of("expected").alias("_e"), of("actual").alias("_a"))
+    e, a = F.col("_e"), F.col("_a")
     shape = (
         F.when(e.isNull(), "invalid_expected").when(a.isNull(), "invalid_json")
         .when((e == "array") & (a == "array"), "array").when((e == "array") | (a == "array"), "type").otherwise("single")
     )
-    return out.withColumn("shape", shape).withColumn("json_valid", ~F.col("shape").isin("invalid_expected", "invalid_json"))
+    out = samples.join(roots, KEY, "left").withColumn("shape", shape).drop("_e", "_a")
+    return out.withColumn("json_valid", ~F.col("shape").isin("invalid_expected", "invalid_json"))
+
+
+def _by_identity(samples: DataFrame, opened: DataFrame) -> DataFrame:
+    """KEY of the samples whose records on both sides all have an identity of their own."""
+    asked = samples.filter((F.size("identity_fields") > 0) & (F.col("shape") == "array")).select(*KEY)
+    records = opened.filter("path = '' and not single")
+    twice = records.groupBy(*KEY, "side", "identity").agg(F.count("*").alias("n")).filter("identity is null or n > 1")
+    return asked.join(twice.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def _matches(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matched pairs with those left over, and the KEY of samples matched by identity.
+def _joined(opened: DataFrame, with_identity: DataFrame) -> DataFrame:
+    """One row for each record and member of either side: KEY, at, path, parent, and pos, object, value of each side.
 
-    Pairs: KEY, at (the record's name in paths), expected_pos, actual_pos, expected_record, actual_record.
+    at is the record's name in paths. Both sides are there for the records that match and the members that they share.
     """
-    # each is read several times, and holds what Python has worked out
-    left = materialize(_elements(samples, "expected").withColumn("side", F.lit("expected")))
-    right = materialize(_elements(samples, "actual").withColumn("side", F.lit("actual")))
-    with_identity = _by_identity(samples, left, right)
-
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        chosen = df.join(with_identity.withColumn("matched_by_identity", F.lit(True)), KEY, "left")
-        match = F.when(F.col("matched_by_identity"), F.col("identity")).otherwise(F.col("pos").cast("string"))
-        return chosen.select(*KEY, match.alias("at"), F.col("pos").alias(f"{side}_pos"), F.col("record").alias(f"{side}_record"))
-
-    arrays = keyed(left, "expected").join(keyed(right, "actual"), [*KEY, "at"], "full_outer")
-    single = samples.filter(F.col("shape") == "single").select(*KEY, F.to_json("expected_value").alias("e"), F.to_json("actual_value").alias("a"))
-    single = add_canonical(single, {"expected_record": "e", "actual_record": "a"}).select(
-        *KEY, F.lit("").alias("at"), F.lit(0).alias("expected_pos"), "expected_record", F.lit(0).alias("actual_pos"), "actual_record"
-    )
-    return materialize(arrays.unionByName(single)), materialize(with_identity)
+    known = with_identity.withColumn("_by_identity", F.lit(True))
+    at = F.when(F.col("single"), "").when(F.col("_by_identity"), F.col("identity")).otherwise(F.col("pos").cast("string"))
+    named = opened.filter("pos >= 0").join(known, KEY, "left").withColumn("at", at)
+
+    def side(name: str) -> DataFrame:
+        own = [F.col(c).alias(f"{name}_{n}") for c, n in (("pos", "pos"), ("is_object", "object"), ("value", "value"), ("parent", "parent"))]
+        return named.filter(F.col("side") == name).select(*KEY, "at", "path", *own)
+
+    both = side("expected").join(side("actual"), [*KEY, "at", "path"], "full_outer")
+    return materialize(both.withColumn("parent", F.coalesce("expected_parent", "actual_parent")).drop("expected_parent", "actual_parent"))
 
 
 def _shown(at: Column, path: Column) -> Column:
@@ -84,36 +75,25 @@ def _shown(at: Column, path: Column) -> Column:
     return F.concat(F.lit("$"), F.when(at == "", F.lit("")).otherwise(F.concat(F.lit("["), at, F.lit("]"))), F.replace(path, F.lit(STEP), F.lit(".")))
 
 
-def _members(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+def _members(joined: DataFrame, samples: DataFrame) -> DataFrame:
     """One row for each compared member of matched records: KEY, at, path, expected, actual, diff.
 
     The whole record has the empty path. diff is null, value, type, missing_field
     or unexpected_field. Members below a record or member that isn't an object on
     both sides are not compared.
     """
-    matched = pairs.filter("expected_record is not null and actual_record is not null")
-
-    def flat(side: str) -> DataFrame:
-        rows = flat_rows(matched, [*KEY, "at"], f"{side}_record")
-        return rows.withColumnsRenamed({"is_object": f"{side}_object", "value": f"{side}_value"})
+    e, a = F.col("expected_value"), F.col("actual_value")
+    both_objects = F.col("expected_object") & F.col("actual_object")
+    differs = F.when(both_objects, F.lit(None)).when(F.col("expected_object"), F.lit("type")).when(e != a, F.lit("value"))
+    columns = [*KEY, "at", "path", F.coalesce(e, F.lit("")).alias("expected"), F.coalesce(a, F.lit("")).alias("actual")]
+    shared = joined.filter(e.isNotNull() & a.isNotNull()).select(*columns, differs.cast("string").alias("diff"))
 
-    e, a = materialize(flat("expected")), materialize(flat("actual"))
-    both = e.join(a, [*KEY, "at", "path", "parent"], "inner").unionByName(
-        e.filter("path = ''").drop("parent").join(a.filter("path = ''").drop("parent"), [*KEY, "at", "path"]).withColumn("parent", F.lit(None).cast("string"))
-    )
-    objects = both.filter("expected_object and actual_object").select(*KEY, "at", F.col("path").alias("parent"))
-    missing = e.join(a.select(*KEY, "at", "path"), [*KEY, "at", "path"], "left_anti").join(objects, [*KEY, "at", "parent"], "left_semi")
-    extra = a.join(e.select(*KEY, "at", "path"), [*KEY, "at", "path"], "left_anti").join(objects, [*KEY, "at", "parent"], "left_semi")
-    extra = extra.join(samples.filter("not allow_additional_fields").select(*KEY), KEY, "left_semi")
-
-    differs = F.when(F.col("expected_object") & F.col("actual_object"), F.lit(None)).when(F.col("expected_object"), F.lit("type")).when(F.col("expected_value") != F.col("actual_value"), F.lit("value"))
-    columns = [*KEY, "at", "path", F.col("expected_value").alias("expected"), F.col("actual_value").alias("actual")]
-    nothing = F.lit("")
-    return (
-        both.select(*columns, differs.cast("string").alias("diff"))
-        .unionByName(missing.select(*KEY, "at", "path", F.col("expected_value").alias("expected"), nothing.alias("actual"), F.lit("missing_field").alias("diff")))
-        .unionByName(extra.select(*KEY, "at", "path", nothing.alias("expected"), F.col("actual_value").alias("actual"), F.lit("unexpected_field").alias("diff")))
-    )
+    # members of one side, whose parent is an object on both
+    objects = joined.filter(both_objects).select(*KEY, "at", F.col("path").alias("parent"))
+    alone = joined.filter((F.col("path") != "") & (e.isNull() | a.isNull())).join(objects, [*KEY, "at", "parent"], "left_semi")
+    alone = alone.join(samples.filter("allow_additional_fields").select(*KEY, F.lit(True).alias("_more")), KEY, "left")
+    alone = alone.filter(a.isNull() | F.col("_more").isNull()).select(*columns, F.when(a.isNull(), "missing_field").otherwise("unexpected_field").alias("diff"))
+    return shared.unionByName(alone)
 
 
 def score(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,9 +110,13 @@ def score(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     being left if the case has some. A field counts as correct if nothing below it
     differs, and counts beside the fields below it.
     """
-    s = shaped(samples)
-    pairs, with_identity = _matches(s)
-    compared = materialize(_members(pairs, s))
+    given = materialize(samples)
+    opened = _opened(given)
+    s = materialize(shaped(given, opened))
+    with_identity = materialize(_by_identity(s, opened))
+    joined = _joined(opened, with_identity)
+    pairs = joined.filter("path = ''").withColumnsRenamed({"expected_value": "expected_record", "actual_value": "actual_record"})
+    compared = materialize(_members(joined, s))
     found = compared.filter("diff is not null")
 
     kind_of = F.when(F.col("actual_record").isNull(), F.lit("missing_record")).when(F.col("expected_record").isNull(), F.lit("extra_record"))

@@ -18,7 +18,7 @@ from textloom.model import Config, Request, byte_budget
 from textloom.operators.chunk import chunk_texts, halves, pack, records
 from textloom.operators.metrics import quality_summary
 from textloom.operators.schema import fields_schema, prepare
-from textloom.operators.score import score
+from textloom.operators.score import COUNTS, score
 from textloom.operators.validate import array_violations, validate
 from textloom.plans.engine import Engine, extract_groups
 from textloom.plans.extractors import JsonExtractor, RuleExtractor, rule_table, typed
@@ -280,7 +280,7 @@ def retry_split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id),
          LATERAL (SELECT regexp_extract(t, '^\\s*(\\S+)', 1) AS first) WHERE regexp_matches(t, '^\\s*\\S+')""")
 def default_object_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An object of the default schema's kind for each conversation, as an input of its own."""
+    """An object for each conversation, as an input of its own."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     text = F.array_join(F.transform(turns, lambda t: F.concat(t["text"], F.lit("\n"))), "")
     groups = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("source_index")).agg(text.alias("content"))
@@ -416,7 +416,7 @@ SCORED = ["case_id", "expected_records", "actual_records", "matched_records", "m
 
 @query(BY_IDENTITY_SQL)
 def identity_join_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1, Q3, Q4, Q6, Q8, Q10: records matched by identity, over every customer."""
+    """Q3, Q6, Q8, Q10: records matched by identity, over every customer."""
     return score(_order_samples(spark, sf_dir, True))[0].select(*SCORED)
 
 
@@ -470,6 +470,131 @@ def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select("o_orderstatus", ratio(F.col("h"), F.col("n")).alias("high_share"), ratio(F.col("h"), F.lit(0)).alias("of_nothing"))
 
 
+#: What each kind of sample gives, by p_partkey % 10: counts and flags of its score, and its differences.
+CASES_SQL = """
+    SELECT p_partkey, CASE p_partkey % 10
+        WHEN 0 THEN [2, 2, 2, 0, 0, 4, 4, 0, 0, 0]  -- the same records by identity
+        WHEN 1 THEN [0, 0, 0, 0, 0, 0, 0, 0, 0, 0]  -- broken JSON
+        WHEN 2 THEN [0, 0, 0, 0, 0, 0, 0, 0, 0, 0]  -- an array against an object
+        WHEN 3 THEN [1, 1, 1, 0, 0, 2, 2, 0, 0, 0]  -- the same object
+        WHEN 4 THEN [1, 1, 1, 0, 0, 2, 1, 0, 1, 0]  -- an object without a member
+        WHEN 5 THEN [2, 2, 2, 0, 0, 4, 4, 0, 0, 0]  -- an identity that repeats: by position
+        WHEN 6 THEN [1, 1, 1, 0, 0, 2, 1, 1, 0, 0]  -- arrays within records compare as wholes
+        WHEN 7 THEN [1, 1, 1, 0, 0, 2, 1, 1, 0, 1]  -- an object against a scalar, and a member too many
+        WHEN 8 THEN [1, 1, 1, 0, 0, 4, 2, 1, 0, 0]  -- a difference below a member: both are incorrect
+        ELSE [2, 2, 2, 0, 0, 4, 4, 0, 0, 0] END AS n,  -- the same records in another order
+        CASE p_partkey % 10 WHEN 0 THEN [] WHEN 1 THEN ['invalid_json'] WHEN 2 THEN ['type'] WHEN 3 THEN [] WHEN 4 THEN ['missing_field'] WHEN 5 THEN ['identity']
+            WHEN 6 THEN ['value'] WHEN 7 THEN ['type', 'unexpected_field'] WHEN 8 THEN ['value'] ELSE ['order'] END AS kinds,
+        p_partkey % 10 IN (0, 3, 4, 6, 7, 8) AS order_correct
+    FROM part"""
+
+
+def _case_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample for every part, of one of ten kinds."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    text = lambda form: F.replace(F.lit(form), F.lit("#"), k)
+    forms = [
+        ('[{"id":#,"t":"a"},{"id":#.5,"t":"b"}]', '[{"t":"a","id":#.0},{"id":#.5,"t":"b"}]', True),
+        ('[{"id":#}]', '[{"id":#}', True),
+        ('[{"id":#}]', '{"id":#}', True),
+        ('{"id":#,"t":"a"}', '{"t":"a","id":#}', False),
+        ('{"id":#,"t":"a"}', '{"id":#}', False),
+        ('[{"id":#,"t":"a"},{"id":#,"t":"b"}]', '[{"id":#,"t":"a"},{"id":#,"t":"b"}]', True),
+        ('[{"id":#,"v":[1,#]}]', '[{"id":#,"v":[#,1]}]', True),
+        ('[{"id":#,"v":{"x":1}}]', '[{"id":#,"v":1,"w":2}]', True),
+        ('{"id":#,"v":{"x":1,"y":#}}', '{"id":#,"v":{"x":1,"y":-1}}', False),
+        ('[{"id":#,"t":"a"},{"id":#.5,"t":"b"}]', '[{"id":#.5,"t":"b"},{"id":#,"t":"a"}]', True),
+    ]
+    one = F.col("p_partkey") % 10
+    pick = lambda n: F.element_at(F.array(*[text(f[n]) for f in forms]), one.cast("int") + 1)
+    ids = F.when(F.element_at(F.array(*[F.lit(f[2]) for f in forms]), one.cast("int") + 1), F.array(F.lit("id"))).otherwise(F.array().cast("array<string>"))
+    return p.select(
+        k.alias("case_id"), F.lit(1).alias("repetition"), F.lit("conformance").alias("tier"), ids.alias("identity_fields"), F.lit(False).alias("allow_additional_fields"),
+        pick(0).alias("expected"), pick(1).alias("actual"), F.lit(True).alias("schema_valid"),
+    )
+
+
+COUNTED = ", ".join(f"CAST(n[{i + 1}] AS BIGINT) AS {c}" for i, c in enumerate(COUNTS))
+
+
+@query(f"""
+    SELECT CAST(p_partkey AS VARCHAR) AS case_id, {COUNTED}, p_partkey % 10 <> 1 AS json_valid, order_correct, len(kinds) = 0 AND order_correct AS exact_match
+    FROM ({CASES_SQL})""")
+def score_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1, Q2, Q4, Q7, Q9: broken texts, single values, types against each other, repeated identities, arrays within."""
+    return score(_case_samples(spark, sf_dir))[0].select("case_id", *COUNTS, "json_valid", "order_correct", "exact_match")
+
+
+@query(f"""
+    SELECT CAST(p_partkey AS VARCHAR) AS case_id, unnest(kinds) AS kind FROM ({CASES_SQL})""")
+def score_difference_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1, Q2, Q4, Q7, Q9: the differences of the same samples."""
+    return score(_case_samples(spark, sf_dir))[1].select("case_id", "kind")
+
+
+# --- failures and splits -------------------------------------------------------------------------
+
+BROKEN = 509
+
+
+@query(f"""
+    WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id % 10 <> 9),
+    f AS (SELECT min(n) AS first FROM e WHERE event_id % {BROKEN} = {BROKEN - 1})
+    SELECT 'chunk ' || first || ': produced invalid JSON' AS error, CAST(first - 1 AS BIGINT) AS n_items, CAST(first AS BIGINT) AS n_attempts FROM f""")
+def first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first failure in input order, and what stands before it; blank sources have no chunk."""
+    key = F.col("event_id")
+    content = F.when(key % 10 == 9, F.lit(" \n\t ")).when(key % BROKEN == BROKEN - 1, F.lit("{")).otherwise(F.col("props"))
+    given = table(spark, sf_dir, "events").select("event_id", content.alias("content"))
+    done = Engine(JsonExtractor()).attempt(from_column(given, "event_id", "content"), Request('{"type":"array"}'))
+    return done.metrics().select(F.lit(done.error).alias("error"), F.col("records_produced").alias("n_items"), F.col("chunks_processed").alias("n_attempts"))
+
+
+WHOLE = RuleExtractor("(?s)^(?<t>.+)$", {"t": 1})
+#: In front of every name: characters of two, three and four bytes.
+SIGNS = "é日😀"
+
+
+def _pieces(spark: SparkSession, sf_dir: str, context: int, max_tokens: int) -> DataFrame:
+    """Every nation's name with SIGNS in front of it, cut until its pieces fit, and put together again."""
+    named = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit(SIGNS), "n_name").alias("content"))
+    done = Engine(WHOLE, Config(context)).extract(from_column(named, "n_nationkey", "content"), Request(fields_schema("t"), max_tokens=max_tokens))
+    items = typed(done.items, "value", done.prepared.item)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_in_source", "path", "item_pos", "t"))), lambda s: s["t"])
+    return items.groupBy(F.col("source_index").alias("n_nationkey")).agg(F.regexp_replace(F.array_join(texts, ""), " ", "").alias("name"), (F.count("*") > 1).alias("split"))
+
+
+PIECES_SQL = f"SELECT n_nationkey, replace('{SIGNS}' || n_name, ' ', '') AS name, TRUE AS split FROM nation"
+
+
+@query(PIECES_SQL)
+def too_long_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts that don't fit the context are cut in two, until they do, between characters."""
+    return _pieces(spark, sf_dir, 600 + 20 + 2, 20)
+
+
+@query(PIECES_SQL)
+def cut_output_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs that stop at the token limit, at times inside a character, are tried again in halves."""
+    return _pieces(spark, sf_dir, 8192, 7)
+
+
+@query("""
+    SELECT 'regions' AS content_type, string_agg(r_name, ', ' ORDER BY r_regionkey) AS summary, count(*) AS n, 0 AS n_warnings FROM region""")
+def default_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One object of the default schema from all sources together."""
+    r = table(spark, sf_dir, "region")
+    ordered = F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name")))
+    names = F.array_join(F.transform(ordered, lambda s: s["r_name"]), ", ")
+    whole_object = F.struct(F.lit("regions").alias("content_type"), names.alias("summary"), F.struct(F.count("*").alias("n")).alias("attributes"), F.array().cast("array<string>").alias("warnings"))
+    json_text = r.agg(F.to_json(whole_object).alias("j"))
+    # in two sources: a line feed goes between them, where JSON lets it
+    halves_of = json_text.select(F.posexplode(F.array(F.substring_index("j", ",", 1), F.expr("substr(j, instr(j, ','))"))).alias("source_index", "content"))
+    done = Engine(JsonExtractor()).extract(halves_of, Request())
+    get = lambda path, kind: F.variant_get("value", path, kind)
+    return done.items.select(get("$.content_type", "string").alias("content_type"), get("$.summary", "string").alias("summary"), get("$.attributes.n", "long").alias("n"), F.size(get("$.warnings", "array<variant>")).alias("n_warnings"))
+
 # --- results -------------------------------------------------------------------------------------
 
 

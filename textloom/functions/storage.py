@@ -19,7 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to shared storage and read it back: computed once, and safe from lost executors."""
+    """Write `df` to the shared folder and read it back.
+
+    This cuts the lineage, fixes what non-deterministic expressions gave, and
+    lets later joins see the true size. A lost executor costs nothing, as the
+    files are in shared storage. They stay there: whoever sets the folder clears it.
+    """
     path = f"{shared_dir(df.sparkSession)}/textloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default of our own only where none is set."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
+from textloom.functions.storage import materialize  # noqa: F401
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
-
-    This cuts the lineage, fixes what non-deterministic expressions gave, and
-    lets later joins see the true size. A lost executor costs nothing, as the
-    files are in shared storage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

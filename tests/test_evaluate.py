@@ -9,7 +9,8 @@ from textloom.evaluate import engine_runner, metadata, report, run_samples, scor
 from textloom.model import Config
 from textloom.operators.schema import fields_schema
 from textloom.plans.extractors import RuleExtractor
-from textloom.sources.corpus import CorpusError, load_corpus
+from textloom.sources import corpus
+from textloom.sources.corpus import CorpusError, check_by_schema, load_corpus
 
 STATUS = fields_schema("host,status")
 INCIDENT = json.dumps({"type": "object", "properties": {"id": {"type": "string"}, "jobs": {"type": "integer"}}, "required": ["id", "jobs"], "additionalProperties": False})
@@ -87,3 +88,12 @@ def test_subprocess_output_is_scored_even_if_it_fails(spark, tmp_path):
     done = score_samples(cases, run_samples(cases, subprocess_runner([sys.executable, "-c", script])))
     r = done.scores.first()
     assert r["exact_match"] and not r["valid"] and r["failure"].startswith("exit 3")
+
+
+def test_any_number_of_schemas(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "SCHEMAS_AT_ONCE", 3)
+    rows = [(f"c{i}", json.dumps({"type": "array", "maxItems": i % 8}), "[1,2,3]") for i in range(16)] + [("none", None, "1"), ("broken", '{"type":"array"}', "{")]
+    checked = check_by_schema(spark.createDataFrame(rows, "case_id string, schema string, t string"), "t")
+    got = {r["case_id"]: r["error"] for r in checked.collect()}
+    want = {f"c{i}": "schema validation: (root): maxItems" if i % 8 < 3 else None for i in range(16)}
+    assert got == {**want, "none": None, "broken": "invalid JSON"}

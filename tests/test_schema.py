@@ -84,6 +84,34 @@ def test_limits_and_combinations(spark):
     accepts(spark, False, [], ["1"])
 
 
+def test_names_by_pattern(spark):
+    named = {"properties": {"n1": {"minimum": 5}}, "patternProperties": {"^n": {"type": "integer"}, "x$": {"type": "string"}}, "additionalProperties": False}
+    accepts(spark, named, ['{"n1":7,"n2":1,"ax":"t"}', "{}", "5"], ['{"n1":1}', '{"n2":"t"}', '{"nx":1}', '{"other":1}'])
+    rest = {"patternProperties": {"^n": True}, "additionalProperties": {"type": "boolean"}}
+    accepts(spark, rest, ['{"n":1,"a":true}'], ['{"n":1,"a":1}'])
+    accepts(spark, {"propertyNames": {"pattern": "^[a-z]+$", "maxLength": 3}}, ['{"abc":1}', "{}", "[]"], ['{"abcd":1}', '{"A":1}'])
+    assert errors(spark, named, ['{"n2":"t"}']) == ["schema validation: n2: type"]
+
+
+def test_contains(spark):
+    accepts(spark, {"contains": {"type": "string"}}, ['[1,"a"]', '"x"', "{}"], ["[]", "[1]"])
+    accepts(spark, {"contains": {"minimum": 3}, "minContains": 2, "maxContains": 3}, ["[3,4,1]", "[3,4,5]"], ["[3]", "[3,3,3,3]", "[]"])
+    accepts(spark, {"contains": {"type": "string"}, "minContains": 0}, ["[]", "[1]"], [])
+    # without `contains` the bounds say nothing
+    accepts(spark, {"minContains": 2}, ["[]"], [])
+
+
+def test_conditions(spark):
+    either = {"if": {"properties": {"kind": {"const": "a"}}, "required": ["kind"]}, "then": {"required": ["x"]}, "else": {"required": ["y"]}}
+    accepts(spark, either, ['{"kind":"a","x":1}', '{"kind":"b","y":1}', '{"y":1}'], ['{"kind":"a","y":1}', '{"kind":"b","x":1}'])
+    accepts(spark, {"if": {"type": "string"}, "then": {"minLength": 2}}, ['"ab"', "1"], ['"a"'])
+    accepts(spark, {"then": False, "else": False}, ["1"], [])
+    accepts(spark, {"dependentRequired": {"a": ["b", "c"], "d": []}}, ['{"a":1,"b":2,"c":null}', '{"b":1}', '{"d":1}', "1"], ['{"a":1}', '{"a":null,"b":1}'])
+    accepts(spark, {"dependentSchemas": {"a": {"properties": {"b": {"type": "string"}}}}}, ['{"b":1}', '{"a":1,"b":"t"}'], ['{"a":1,"b":1}'])
+    nested = {"items": {"if": {"required": ["a"]}, "then": {"patternProperties": {"^b": {"contains": {"const": 1}}}}}}
+    accepts(spark, nested, ['[{"b":[2]}]', '[{"a":1,"b":[2,1]}]'], ['[{"a":1,"b":[2]}]'])
+
+
 def test_messages(spark):
     schema = {"type": "array", "items": {"type": "object", "required": ["a"], "properties": {"b": {"type": "string"}}}}
     one, two, broken, root = errors(spark, schema, ['[{"a":1,"b":2}]', '[{"b":2},5]', "[", "{}"])
@@ -91,7 +119,7 @@ def test_messages(spark):
     assert two == "schema validation:\n- 0: required\n- 0.b: type\n- 1: type" and broken == "invalid JSON" and root == "schema validation: (root): type"
 
 
-@pytest.mark.parametrize("text", ["{", "[]", "5", '{"type":"text"}', '{"required":"a"}', '{"$ref":"#/nowhere"}', '{"$ref":"#"}', '{"patternProperties":{}}', '{"anyOf":[]}', '{"minItems":"1"}'])
+@pytest.mark.parametrize("text", ["{", "[]", "5", '{"type":"text"}', '{"required":"a"}', '{"$ref":"#/nowhere"}', '{"$ref":"#"}', '{"unevaluatedItems":false}', '{"patternProperties":[]}', '{"dependentRequired":{"a":"b"}}', '{"minContains":"1","contains":true}', '{"anyOf":[]}', '{"minItems":"1"}'])
 def test_malformed_schemas(spark, text):
     with pytest.raises(ValueError):
         prepare(text)

@@ -19,7 +19,7 @@ TYPES = ("object", "array", "string", "number", "integer", "boolean", "null")
 #: Keywords that say nothing about validity.
 ANNOTATIONS = frozenset("$schema $id $anchor $comment $defs definitions title description default examples deprecated readOnly writeOnly format contentEncoding contentMediaType".split())
 #: Keywords of the specification that are not implemented; a schema that uses one is refused.
-REFUSED = frozenset("patternProperties propertyNames dependentRequired dependentSchemas dependencies contains minContains maxContains unevaluatedItems unevaluatedProperties if then else $dynamicRef $recursiveRef additionalItems".split())
+REFUSED = frozenset("dependencies unevaluatedItems unevaluatedProperties $dynamicRef $recursiveRef additionalItems".split())
 VIOLATIONS = "array<struct<path:string,keyword:string>>"
 
 #: The smallest and largest difference from a whole number that multipleOf takes for none.
@@ -126,6 +126,10 @@ def violations(value: Column, schema: object, path: Column | None = None, root:
             found.append(_unless(n_good >= 1 if keyword == "anyOf" else n_good == 1, path, keyword))
     if "not" in schema:
         found.append(_unless(F.size(below(value, schema["not"], path)) > 0, path, "not"))
+    if "if" in schema and ("then" in schema or "else" in schema):
+        # without an `if` the other two say nothing, nor does it without them
+        met = F.size(below(value, schema["if"], path)) == 0
+        found.append(F.when(met, below(value, schema.get("then", True), path)).otherwise(below(value, schema.get("else", True), path)))
     return F.concat(*found) if len(found) > 1 else found[0] if found else _none()
 
 
@@ -175,15 +179,41 @@ def _of_objects(value: Column, schema: dict, path: Column, below) -> list[Column
         v = member(value, name)
         inner = below(v, s, F.concat(path, F.lit(f".{name}")))
         out.append(F.when(is_object & v.isNotNull(), inner).otherwise(_none()))
+    patterns = schema.get("patternProperties", {})
+    _check(isinstance(patterns, dict), "patternProperties is not an object")
+    each_of = lambda entries, s: F.flatten(F.transform(entries, lambda e: below(e["value"], s, F.concat(path, F.lit("."), e["key"]))))
+    for pattern, s in sorted(patterns.items()):
+        fitting = F.map_entries(F.map_filter(of, lambda k, _: k.rlike(pattern)))  # noqa: B023
+        out.append(F.when(is_object, each_of(fitting, s)).otherwise(_none()))
     others = schema.get("additionalProperties", True)
     if others is not True:
         known = F.array(*[F.lit(k) for k in named]).cast("array<string>")
-        extra = F.map_entries(F.map_filter(of, lambda k, _: ~F.array_contains(known, k)))
+
+        def is_extra(name: Column, _: Column) -> Column:
+            extra = ~F.array_contains(known, name)
+            for pattern in patterns:
+                extra = extra & ~name.rlike(pattern)
+            return extra
+
+        extra = F.map_entries(F.map_filter(of, is_extra))
         if others is False:
             out.append(F.when(is_object, _unless(F.size(extra) == 0, path, "additionalProperties")).otherwise(_none()))
         else:
-            each = F.transform(extra, lambda e: below(e["value"], others, F.concat(path, F.lit("."), e["key"])))
-            out.append(F.when(is_object, F.flatten(each)).otherwise(_none()))
+            out.append(F.when(is_object, each_of(extra, others)).otherwise(_none()))
+    if "propertyNames" in schema:
+        wrong = F.exists(F.map_keys(of), lambda k: F.size(below(k.cast("variant"), schema["propertyNames"], path)) > 0)
+        out.append(F.when(is_object, _unless(~wrong, path, "propertyNames")).otherwise(_none()))
+    for keyword in ("dependentRequired", "dependentSchemas"):
+        given = schema.get(keyword, {})
+        _check(isinstance(given, dict), f"{keyword} is not an object")
+        for name, then in sorted(given.items()):
+            if keyword == "dependentRequired":
+                _check(isinstance(then, list) and all(isinstance(x, str) for x in then), "dependentRequired has no list of names")
+                needed = [member(value, x).isNotNull() for x in then]
+                inner = F.concat(*[_unless(has, path, keyword) for has in needed]) if needed else _none()
+            else:
+                inner = below(value, then, path)
+            out.append(F.when(is_object & member(value, name).isNotNull(), inner).otherwise(_none()))
     return out
 
 
@@ -200,6 +230,12 @@ def _of_arrays(value: Column, schema: dict, path: Column, below) -> list[Column]
         rest = F.slice(of, len(first) + 1, F.greatest(F.lit(0), F.size(of) - len(first))) if first else of
         each = F.transform(rest, lambda v, i: below(v, items, F.concat(path, F.lit("."), (i + len(first)).cast("string"))))
         out.append(F.when(is_array, F.flatten(each)).otherwise(_none()))
+    if "contains" in schema:
+        n_fitting = F.size(F.filter(of, lambda v: F.size(below(v, schema["contains"], path)) == 0))
+        least = "minContains" if "minContains" in schema else "contains"
+        limits = {least: schema.get("minContains", 1), **{k: schema[k] for k in ("maxContains",) if k in schema}}
+        sizes = {least: (n_fitting, lambda n, x: n >= x), "maxContains": (n_fitting, lambda n, x: n <= x)}
+        out += _limits(limits, value, is_array, path, sizes)
     if schema.get("uniqueItems"):
         texts = F.transform(of, lambda v: F.to_json(v))
         out.append(F.when(is_array, _unless(F.size(F.array_distinct(texts)) == F.size(of), path, "uniqueItems")).otherwise(_none()))

@@ -38,9 +38,14 @@ def with_json(df: DataFrame, text: str, name: str) -> DataFrame:
     """`df` with the VARIANT of column `text`, parsed once for each row however often it is used.
 
     Spark would repeat the parser in every expression and filter that uses its
-    result; it doesn't move a generator.
+    result; it doesn't move the generator that `once` makes.
     """
-    return df.select("*", F.explode(F.array(strict_json(F.col(text)))).alias(name))
+    return once(df, strict_json(F.col(text)), name)
+
+
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """`df` with a column that is computed once for each row, where Spark would copy its expression to every use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def kind(value: Column) -> Column:
@@ -53,6 +58,17 @@ def kind(value: Column) -> Column:
     )
 
 
+def is_kind(value: Column, name: str) -> Column:
+    """Whether a VARIANT is of that JSON type; of an array or object no more than its first level is looked at. False for SQL null."""
+    if name in ("object", "array"):
+        return (members(value) if name == "object" else elements(value)).isNotNull()
+    of = F.coalesce(F.schema_of_variant(value), F.lit(""))
+    if name == "number":
+        # texts and booleans could be cast as well
+        return F.try_variant_get(value, "$", "double").isNotNull() & ~of.isin("STRING", "BOOLEAN")
+    return of == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name]
+
+
 def elements(value: Column) -> Column:
     """The elements of a VARIANT array; null for anything else."""
     return F.try_variant_get(value, "$", "array<variant>")
@@ -65,6 +81,10 @@ def members(value: Column) -> Column:
 
 def member(value: Column, name: str) -> Column:
     """A member of a VARIANT object by its name, whatever characters that has; SQL null if there is none."""
+    for quote in "'\"":
+        if quote not in name:
+            return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+    # a path cannot hold both quotes
     return F.get(F.map_values(F.map_filter(members(value), lambda k, _: k == F.lit(name))), F.lit(0))
 
 

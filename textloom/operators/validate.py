@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.json import elements, kind, member, members, with_json
+from textloom.functions.json import elements, is_kind, member, members, once, with_json
 
 TYPES = ("object", "array", "string", "number", "integer", "boolean", "null")
 #: Keywords that say nothing about validity.
@@ -49,19 +49,19 @@ def _number(value: Column) -> Column:
 
 def _is(value: Column, name: str) -> Column:
     if name == "integer":
-        return (kind(value) == "number") & (_number(value) == F.rint(_number(value)))
-    return kind(value) == name
+        return is_kind(value, "number") & (_number(value) == F.rint(_number(value)))
+    return is_kind(value, name)
 
 
 def _equals(value: Column, wanted: object) -> Column:
     if wanted is None:
-        return kind(value) == "null"
+        return is_kind(value, "null")
     if isinstance(wanted, bool):
-        return (kind(value) == "boolean") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
+        return is_kind(value, "boolean") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
     if isinstance(wanted, (int, float)):
-        return (kind(value) == "number") & (_number(value) == F.lit(float(wanted)))
+        return is_kind(value, "number") & (_number(value) == F.lit(float(wanted)))
     if isinstance(wanted, str):
-        return (kind(value) == "string") & (F.try_variant_get(value, "$", "string") == F.lit(wanted))
+        return is_kind(value, "string") & (F.try_variant_get(value, "$", "string") == F.lit(wanted))
     # both sides in the form that to_json gives a VARIANT
     return F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
 
@@ -145,7 +145,7 @@ def _limits(schema: dict, value: Column, applies: Column, path: Column, sizes: d
 
 
 def _of_strings(value: Column, schema: dict, path: Column) -> list[Column]:
-    is_string, text = kind(value) == "string", F.try_variant_get(value, "$", "string")
+    is_string, text = is_kind(value, "string"), F.try_variant_get(value, "$", "string")
     length = F.char_length(text)
     out = _limits(schema, value, is_string, path, {"minLength": (length, lambda n, x: n >= x), "maxLength": (length, lambda n, x: n <= x)})
     if "pattern" in schema:
@@ -157,7 +157,7 @@ def _of_strings(value: Column, schema: dict, path: Column) -> list[Column]:
 def _of_numbers(value: Column, schema: dict, path: Column) -> list[Column]:
     n = _number(value)
     return _limits(
-        schema, value, kind(value) == "number", path,
+        schema, value, is_kind(value, "number"), path,
         {
             "minimum": (n, lambda n, x: n >= x), "maximum": (n, lambda n, x: n <= x),
             "exclusiveMinimum": (n, lambda n, x: n > x), "exclusiveMaximum": (n, lambda n, x: n < x),
@@ -167,7 +167,7 @@ def _of_numbers(value: Column, schema: dict, path: Column) -> list[Column]:
 
 
 def _of_objects(value: Column, schema: dict, path: Column, below) -> list[Column]:
-    is_object, of = kind(value) == "object", members(value)
+    is_object, of = is_kind(value, "object"), members(value)
     named = schema.get("properties", {})
     _check(isinstance(named, dict), "properties is not an object")
     out = _limits(schema, value, is_object, path, {"minProperties": (F.size(of), lambda n, x: n >= x), "maxProperties": (F.size(of), lambda n, x: n <= x)})
@@ -218,7 +218,7 @@ def _of_objects(value: Column, schema: dict, path: Column, below) -> list[Column
 
 
 def _of_arrays(value: Column, schema: dict, path: Column, below) -> list[Column]:
-    is_array, of = kind(value) == "array", elements(value)
+    is_array, of = is_kind(value, "array"), elements(value)
     out = _limits(schema, value, is_array, path, {"minItems": (F.size(of), lambda n, x: n >= x), "maxItems": (F.size(of), lambda n, x: n <= x)})
     first = schema.get("prefixItems", [])
     _check(isinstance(first, list), "prefixItems is not a list")
@@ -261,7 +261,7 @@ def validate(df: DataFrame, text: str, schema: object) -> DataFrame:
     kept = [c for c in df.columns if c not in ("value", "violations", "error")]
     parsed = with_json(df, text, "_parsed").select(*kept, F.col("_parsed").alias("value"))
     found = F.when(F.col("value").isNotNull(), violations(F.col("value"), schema))
-    checked = parsed.withColumn("violations", found)
+    checked = once(parsed, found, "violations")
     return checked.withColumn("error", F.when(F.col("value").isNull(), F.lit("invalid JSON")).otherwise(message(F.col("violations"))))
 
 

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.json import add_canonical, elements, kind, last_key_wins, strict_json, with_json
+from textloom.functions.json import add_canonical, elements, is_kind, last_key_wins, once, strict_json, with_json
 from textloom.functions.storage import materialize
 from textloom.functions.text import n_bytes, trim_space
 from textloom.model import Config, Request, byte_budget
@@ -113,7 +113,7 @@ class Engine:
             half = halves(F.col("text"), request.delimiter)
             overflow = (F.col("failure") == "too_long") | (F.col("failure").isNull() & F.col("_value").isNull() & F.col("hit_limit"))
             split = F.coalesce(overflow, F.lit(False)) & half.isNotNull() if prepared.is_array else F.lit(False)
-            run = run.withColumn("_halves", F.when(split, half)).withColumn("error", F.when(~split, self._problem(prepared)))
+            run = self._checked(run.withColumn("_halves", F.when(split, half)), prepared)
             outcome = F.when(F.col("_halves").isNotNull(), "split").when(F.col("error").isNotNull(), "failed").otherwise("ok")
             n = F.when(outcome == "ok", F.size(elements(F.col("_value"))) if prepared.is_array else F.lit(1)).otherwise(0)
             run = run.withColumns(
@@ -129,23 +129,26 @@ class Engine:
             level = parts.select("source_index", "chunk_in_source", F.concat("path", "p.step").alias("path"), trim_space(F.col("p.half")).alias("text")).filter("text <> ''")
             depth += 1
 
-    def _problem(self, prepared: PreparedSchema) -> Column:
-        """What is wrong with an attempt's output, or null."""
+    def _checked(self, run: DataFrame, prepared: PreparedSchema) -> DataFrame:
+        """`run` with error: what is wrong with an attempt's output, or null; null too for one that is split (_halves)."""
+        value = F.col("_value")
+        usable = F.col("_halves").isNull() & F.col("failure").isNull() & value.isNotNull()
+        run = once(run, F.when(usable, violations(value, prepared.schema)), "_found")
         broken = F.when(F.col("failure") == "too_long", F.lit("prompt exceeds the context")).when(F.col("failure").isNotNull(), F.col("failure"))
-        broken = broken.when(F.col("_value").isNull(), F.lit("produced invalid JSON"))
+        broken = broken.when(value.isNull(), F.lit("produced invalid JSON"))
         if prepared.is_array:
-            broken = broken.when(kind(F.col("_value")) != "array", F.lit("produced a non-array result"))
-        return broken.otherwise(message(violations(F.col("_value"), prepared.schema)))
+            broken = broken.when(~is_kind(value, "array"), F.lit("produced a non-array result"))
+        return run.withColumn("error", F.when(F.col("_halves").isNull(), broken.otherwise(message(F.col("_found"))))).drop("_found")
 
     def _array(self, chunks: DataFrame, request: Request, prepared: PreparedSchema) -> Extraction:
         attempts = numbered(self.tries(chunks, request, prepared), ORDER, "index")
-        attempts = materialize(attempts)
         if attempts.isEmpty():
             raise NoInput("no input")
         first = attempts.filter("outcome = 'failed'").orderBy("index").select("index", "error").first()
         error = f"chunk {first['index']}: {first['error']}" if first else None
         made = attempts if first is None else attempts.filter(F.col("index") <= first["index"])
-        items = made.filter("outcome = 'ok'").select(*ORDER, F.posexplode(elements(strict_json(F.col("raw")))).alias("item_pos", "value"))
+        # what came out well is JSON, strictly; a lenient parser reads the same from it
+        items = made.filter("outcome = 'ok'").select(*ORDER, F.posexplode(elements(F.try_parse_json("raw"))).alias("item_pos", "value"))
         if error is None and isinstance(prepared.schema, dict) and prepared.schema.keys() - ITEM_KEYWORDS:
             broken = array_violations(add_canonical(items.select(F.to_json("value").alias("item")), {"item": "item"}), prepared.schema, "item")
             keywords = sorted(r["keyword"] for r in broken.collect())
@@ -177,5 +180,5 @@ def extract_groups(groups: DataFrame, extractor: Extractor, request: Request, co
     engine = Engine(extractor, config)
     chunks = groups.select("source_index", F.lit(0).alias("chunk_in_source"), F.lit("").alias("path"), trim_space(F.col("content")).alias("text")).filter("text <> ''")
     run = with_json(extractor.run(chunks, request, engine.config, prepared), "raw", "_value")
-    checked = run.withColumn("error", engine._problem(prepared))
+    checked = engine._checked(run.withColumn("_halves", F.lit(None)), prepared)
     return checked.select("source_index", F.when(F.col("error").isNull(), F.col("_value")).alias("value"), "error")

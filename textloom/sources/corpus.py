@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.json import last_key_wins, with_json
+from textloom.functions.json import last_key_wins, once, with_json
 from textloom.functions.storage import materialize
 
 MANIFEST = "version int, model string, cases array<string>"
@@ -93,7 +93,7 @@ def check_by_schema(rows: DataFrame, text: str) -> DataFrame:
         broken = F.lit(None).cast("array<struct<path:string,keyword:string>>")
         for schema in some:
             broken = F.when(F.col("schema") == schema, violations(value, prepare(schema).schema)).otherwise(broken)
-        checked = with_json(rows.filter(own), text, "_parsed").select(*kept, F.col("_parsed").alias("value")).withColumn("_broken", broken)
+        checked = once(with_json(rows.filter(own), text, "_parsed").select(*kept, F.col("_parsed").alias("value")), broken, "_broken")
         one = checked.withColumn("error", F.when(value.isNull(), F.lit("invalid JSON")).otherwise(message(F.col("_broken")))).drop("_broken")
         found = one if found is None else found.unionByName(one)
     return found

@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from textloom.evaluate import engine_runner, metadata, report, run_samples, score_samples, subprocess_runner
+from textloom.evaluate import engine_runner, engine_samples, metadata, report, run_samples, score_samples, subprocess_runner, write_report
 from textloom.model import Config
 from textloom.operators.schema import fields_schema
 from textloom.plans.extractors import RuleExtractor
@@ -82,6 +82,32 @@ def test_evaluation(spark, tmp_path):
             run_samples(cases, engine_runner(spark, RULE), **wrong)
 
 
+def test_one_plan_gives_what_runs_one_by_one_give(spark, tmp_path):
+    more = {
+        **CASES,
+        "few": ({}, "a is up.\nb is up.", json.dumps({**json.loads(STATUS), "minItems": 3}), [{"host": "a", "status": "up"}] * 3),
+        "many": ({}, "a is up.\nb is up.", json.dumps({**json.loads(STATUS), "maxItems": 5}), []),
+        "nothing": ({}, "no rule fits", STATUS, []),
+        "blank": ({}, " \n ", STATUS, []),
+    }
+    cases = load_corpus(spark, write(tmp_path / "c", more))
+    rows = lambda df: sorted(map(tuple, df.select("case_id", "repetition", "actual", "failure").collect()))
+    # room for one record a chunk: halves and attempts are numbered within each case
+    for config, most in ((Config(), 2048), (Config(context=600 + 24 + 8), 24)):
+        one = rows(engine_samples(cases, RULE, config, most))
+        assert one == rows(run_samples(cases, engine_runner(spark, RULE, config, most)))
+    samples = engine_samples(cases, RULE, repetitions=2)
+    assert rows(samples) == sorted((c, n, a, f) for c, _, a, f in rows(engine_samples(cases, RULE)) for n in (1, 2))
+    done = score_samples(cases, samples)
+    write_report(done, {"extractor": "rule"}, f"file://{tmp_path}/r")
+    about = json.loads(spark.read.text(f"file://{tmp_path}/r/summary").first()[0])
+    assert about["metadata"] == {"extractor": "rule"} and about["summary"] == json.loads(report(done, {}))["summary"]
+    assert sorted(r["case_id"] for r in spark.read.json(f"file://{tmp_path}/r/samples").collect()) == sorted([*more] * 2)
+    assert engine_samples(cases.limit(0), RULE).count() == 0
+    with pytest.raises(ValueError):
+        engine_samples(cases, RULE, repetitions=0)
+
+
 def test_subprocess_output_is_scored_even_if_it_fails(spark, tmp_path):
     cases = load_corpus(spark, write(tmp_path / "c", {"status": CASES["status"]}))
     script = "import json,sys; print(json.dumps([{'host':l.split()[0],'status':l.split()[2][:-1]} for l in sys.stdin.read().splitlines()])); sys.exit(3)"

@@ -136,6 +136,7 @@ def test_spark_types():
     assert spark_type({"type": "object", "additionalProperties": {"type": "number"}}) == T.MapType(T.StringType(), T.DoubleType())
     assert spark_type({"type": ["string", "number"]}) == T.VariantType()
     assert spark_type({"enum": ["a"]}) == T.StringType()
+    assert spark_type({"type": "object", "patternProperties": {"^n": {"type": "integer"}}, "additionalProperties": {"type": "string"}}) == T.VariantType()
 
 
 def test_constraints_over_all_items(spark):
@@ -143,7 +144,9 @@ def test_constraints_over_all_items(spark):
     keywords = lambda s: {r["keyword"] for r in array_violations(items, s, "c").collect()}
     assert keywords({"minItems": 4, "uniqueItems": True}) == {"minItems", "uniqueItems"}
     assert keywords({"minItems": 3, "maxItems": 3}) == set() and keywords({"maxItems": 2}) == {"maxItems"}
-    assert items.filter(F.lit(False)).count() == 0
+    assert keywords({"contains": {"const": 2}, "maxContains": 1}) == {"maxContains"} and keywords({"contains": {"const": 2}, "maxContains": 2}) == set()
+    within = {"$ref": "#/$defs/few", "allOf": [{"uniqueItems": True}], "$defs": {"few": {"maxItems": 2, "contains": {"$ref": "#/$defs/two"}, "maxContains": 1}, "two": {"const": 2}}}
+    assert keywords(within) == {"maxItems", "uniqueItems", "maxContains"}
 
 
 def test_clashing_columns_are_replaced(spark):

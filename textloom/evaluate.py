@@ -19,7 +19,7 @@ from textloom.functions.text import encode_delimiter
 from textloom.model import Config, Request
 from textloom.operators.metrics import quality_summary
 from textloom.operators.score import score
-from textloom.plans.engine import Engine, ExtractionError
+from textloom.plans.engine import Engine, ExtractionError, extract_each
 from textloom.plans.extractors import Extractor
 from textloom.sources.corpus import check_by_schema
 from textloom.sources.text import from_text
@@ -89,6 +89,28 @@ def run_samples(cases: DataFrame, runner: Runner, repetitions: int = 1, warmups:
     return cases.sparkSession.createDataFrame(out, SAMPLE)
 
 
+def engine_samples(cases: DataFrame, extractor: Extractor, config: Config | None = None, max_tokens: int = 2048, repetitions: int = 1) -> DataFrame:
+    """Rows of SAMPLE for every case and repetition in one plan; seconds are null, as cases run side by side.
+
+    There is one extraction for each distinct schema and delimiter, over all cases
+    that have them. To time cases one by one, take run_samples().
+    """
+    if repetitions < 1:
+        raise ValueError("repetitions must be 1 or more")
+    delimiter = F.coalesce(F.nullif("delimiter", F.lit("")), F.lit("\n"))
+    rows = cases.select("case_id", "case_pos", "schema", delimiter.alias("delimiter"), "input")
+    rows = rows.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
+    rows = rows.withColumn("source_index", (F.col("case_pos") * repetitions + F.col("repetition") - 1).cast("int"))
+    found = cases.sparkSession.createDataFrame([], "source_index int, actual string, failure string")
+    for asked in rows.select("schema", "delimiter").distinct().orderBy("schema", "delimiter").collect():
+        own = rows.filter((F.col("schema") == asked["schema"]) & (F.col("delimiter") == asked["delimiter"]))
+        request = Request(asked["schema"], asked["delimiter"], max_tokens)
+        found = found.unionByName(extract_each(own.select("source_index", F.col("input").alias("content")), extractor, request, config))
+    joined = rows.join(found.withColumn("_ran", F.lit(True)), "source_index", "left")
+    failure = F.when(F.col("_ran").isNull(), F.lit("no input")).otherwise(F.col("failure"))
+    return joined.select("case_id", "repetition", "actual", failure.alias("failure"), F.lit(None).cast("double").alias("seconds"))
+
+
 def score_samples(cases: DataFrame, samples: DataFrame) -> Evaluation:
     """Score samples (SAMPLE) of `cases`, and sum the scores up.
 
@@ -116,10 +138,23 @@ def metadata(spark: SparkSession, extractor: str, config: Config) -> dict:
     }
 
 
-def report(evaluation: Evaluation, about: dict) -> str:
-    """One JSON document: metadata, summary, and each sample's score with its differences, in order."""
+def report_rows(evaluation: Evaluation) -> DataFrame:
+    """The scores, each with the list of its differences."""
     d = evaluation.differences
     each = d.groupBy("case_id", "repetition").agg(F.array_sort(F.collect_list(F.struct("path", "kind", "expected", "actual"))).alias("differences"))
-    rows = evaluation.scores.join(each, ["case_id", "repetition"], "left").orderBy("case_id", "repetition").toJSON().collect()
+    return evaluation.scores.join(each, ["case_id", "repetition"], "left")
+
+
+def report(evaluation: Evaluation, about: dict) -> str:
+    """One JSON document: metadata, summary, and each sample's score with its differences, in order. For corpora that one reader can hold."""
+    rows = report_rows(evaluation).orderBy("case_id", "repetition").toJSON().collect()
     summary = evaluation.summary.toJSON().first()
     return json.dumps({"metadata": about, "summary": json.loads(summary), "samples": [json.loads(r) for r in rows]}, sort_keys=True)
+
+
+def write_report(evaluation: Evaluation, about: dict, path: str) -> None:
+    """The same in parallel, for a corpus of any size: JSON Lines in `path`/samples, sorted, and metadata and summary in `path`/summary."""
+    report_rows(evaluation).repartitionByRange("case_id", "repetition").sortWithinPartitions("case_id", "repetition").write.json(f"{path}/samples")
+    summary = evaluation.summary.select(F.to_json(F.struct("*")).alias("_s"))
+    told = F.concat(F.lit('{"metadata":' + json.dumps(about, sort_keys=True) + ',"summary":'), "_s", F.lit("}"))
+    summary.select(told.alias("value")).write.text(f"{path}/summary")

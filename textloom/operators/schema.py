@@ -76,7 +76,7 @@ def prepare(text: str) -> PreparedSchema:
 
 def spark_type(schema: object) -> T.DataType:
     """The Spark type of values that a schema admits; VARIANT where no other type holds them all."""
-    if not isinstance(schema, dict) or any(k in schema for k in ("$ref", "anyOf", "oneOf", "allOf", "not")):
+    if not isinstance(schema, dict) or any(k in schema for k in ("$ref", "anyOf", "oneOf", "allOf", "not", "patternProperties", "prefixItems")):
         return T.VariantType()
     kinds = schema.get("type")
     kinds = {kinds} if isinstance(kinds, str) else set(kinds or ())

@@ -265,20 +265,35 @@ def validate(df: DataFrame, text: str, schema: object) -> DataFrame:
     return checked.withColumn("error", F.when(F.col("value").isNull(), F.lit("invalid JSON")).otherwise(message(F.col("violations"))))
 
 
+def _root_rules(schema: object, root: object) -> list[dict]:
+    """The schemas that all hold for the root: itself, and those it names in allOf and $ref."""
+    if not isinstance(schema, dict):
+        return []
+    more = [*schema.get("allOf", []), *([_resolve(schema["$ref"], root)] if "$ref" in schema else [])]
+    return [schema, *[rule for s in more for rule in _root_rules(s, root)]]
+
+
 def array_violations(items: DataFrame, schema: dict, canonical: str) -> DataFrame:
     """Rows keyword: constraints of the root array that the items of all chunks break together.
 
-    Items are known to be valid one by one, so counts suffice: no item is gathered
-    anywhere. `canonical` is a column that is equal for equal items.
+    Chunks are known to be valid one by one, so counts suffice: no item is gathered
+    anywhere. `canonical` is a column of JSON that is equal for equal items. Looked at
+    are minItems, maxItems, uniqueItems and maxContains, in allOf and $ref too; what
+    else a root says holds for each chunk by itself.
     """
-    agg = [F.count("*").alias("n")]
-    if schema.get("uniqueItems"):
-        agg.append(F.count_distinct(canonical).alias("different"))
-    counts = items.agg(*agg)
-    broken = {"minItems": F.col("n") < schema.get("minItems", 0)}
-    if "maxItems" in schema:
-        broken["maxItems"] = F.col("n") > schema["maxItems"]
-    if schema.get("uniqueItems"):
-        broken["uniqueItems"] = F.col("different") < F.col("n")
-    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in broken.items()]), lambda k: k.isNotNull())
-    return counts.select(F.explode(found).alias("keyword"))
+    rules = _root_rules(schema, schema)
+    agg, broken = [F.count("*").alias("n"), F.count_distinct(canonical).alias("different")], []
+    for i, rule in enumerate(rules):
+        for keyword, wrong in (("minItems", lambda x: F.col("n") < x), ("maxItems", lambda x: F.col("n") > x)):
+            if keyword in rule:
+                broken.append((keyword, wrong(rule[keyword])))
+        if "contains" in rule and "maxContains" in rule:
+            fits = F.size(violations(F.try_parse_json(canonical), rule["contains"], root=schema)) == 0
+            agg.append(F.count_if(fits).alias(f"fitting_{i}"))
+            broken.append(("maxContains", F.col(f"fitting_{i}") > rule["maxContains"]))
+    if any(rule.get("uniqueItems") for rule in rules):
+        broken.append(("uniqueItems", F.col("different") < F.col("n")))
+    else:
+        agg.pop(1)
+    found = F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in broken]).cast("array<string>"), lambda k: k.isNotNull()))
+    return items.agg(*agg).select(F.explode(found).alias("keyword"))

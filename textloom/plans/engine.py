@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.json import add_canonical, elements, is_kind, last_key_wins, once, strict_json, with_json
@@ -182,3 +182,30 @@ def extract_groups(groups: DataFrame, extractor: Extractor, request: Request, co
     run = with_json(extractor.run(chunks, request, engine.config, prepared), "raw", "_value")
     checked = engine._checked(run.withColumn("_halves", F.lit(None)), prepared)
     return checked.select("source_index", F.when(F.col("error").isNull(), F.col("_value")).alias("value"), "error")
+
+
+def extract_each(sources: DataFrame, extractor: Extractor, request: Request, config: Config | None = None) -> DataFrame:
+    """Whole extractions of many inputs in one plan, each a row source_index, content: source_index, actual, failure.
+
+    actual is the result as JSON text, null if the extraction failed; failure is then
+    the first one's message, with attempts numbered within the input. An input of
+    nothing but white space has no row. An input's items become one text, so that
+    inputs are to be of bounded size; there may be any number of them.
+    """
+    last_key_wins(sources.sparkSession)
+    prepared = request.prepared()
+    if not prepared.is_array:
+        return extract_groups(sources, extractor, request, config).select("source_index", F.to_json("value").alias("actual"), F.col("error").alias("failure"))
+    engine = Engine(extractor, config)
+    attempts = engine.tries(chunk_texts(sources, request.delimiter, byte_budget(engine.config.context, request.max_tokens)), request, prepared)
+    attempts = attempts.withColumn("index", F.row_number().over(Window.partitionBy("source_index").orderBy("chunk_in_source", "path")))
+    texts = F.array_join(F.transform(elements(F.try_parse_json("raw")), lambda v: F.to_json(v)), ",")
+    done = attempts.groupBy("source_index").agg(
+        F.min(F.when(F.col("outcome") == "failed", F.struct("index", "error"))).alias("_first"),
+        F.array_sort(F.collect_list(F.when(F.col("outcome") == "ok", F.struct("index", texts.alias("t"))))).alias("_parts"),
+    )
+    parts = F.filter(F.transform("_parts", lambda p: p["t"]), lambda t: t != "")
+    done = done.withColumn("_all", F.when(F.col("_first").isNull(), F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))))
+    done = once(once(done, F.try_parse_json("_all"), "_value"), F.when(F.col("_value").isNotNull(), violations(F.col("_value"), prepared.schema)), "_found")
+    failure = F.coalesce(F.concat(F.lit("chunk "), F.col("_first.index").cast("string"), F.lit(": "), F.col("_first.error")), message(F.col("_found")))
+    return done.withColumn("failure", failure).select("source_index", F.when(F.col("failure").isNull(), F.col("_all")).alias("actual"), "failure")

@@ -20,7 +20,7 @@ from textloom.operators.metrics import quality_summary
 from textloom.operators.schema import fields_schema, prepare
 from textloom.operators.score import COUNTS, score
 from textloom.operators.validate import array_violations, validate
-from textloom.plans.engine import Engine, extract_groups
+from textloom.plans.engine import Engine, extract_each, extract_groups
 from textloom.plans.extractors import JsonExtractor, RuleExtractor, rule_table, typed
 from textloom.sinks.json import array_documents
 from textloom.sources.text import from_column, whole
@@ -233,6 +233,17 @@ def engine_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy(F.col("source_index").alias("doc_id")).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(texts, ","), 256).alias("items_sha256"))
 
 
+@query(r"""
+    SELECT doc_id, sha256('[' || coalesce(string_agg('{"first":"' || regexp_extract(record, '^([A-Z][a-z]+) ([a-z]+)', 1) || '","second":"' || regexp_extract(record, '^([A-Z][a-z]+) ([a-z]+)', 2) || '"}', ','
+                                                  ORDER BY record_pos) FILTER (regexp_matches(record, '^([A-Z][a-z]+) ([a-z]+)')), '') || ']') AS actual_sha256,
+           CAST(NULL AS VARCHAR) AS failure
+    FROM (""" + RECORDS_SQL + r""") WHERE doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\s\x{85}\p{Z}\v]')) GROUP BY doc_id""")
+def extract_each_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document an input of its own, all in one plan."""
+    done = extract_each(sources(spark, sf_dir), PROPER, Request(fields_schema("first,second")))
+    return done.select(F.col("source_index").alias("doc_id"), F.sha2("actual", 256).alias("actual_sha256"), "failure")
+
+
 def _crowded(spark: SparkSession, sf_dir: str):
     """Every customer's name in one source per nation, with so little room that chunks must be split."""
     names = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("source_index"))
@@ -243,13 +254,14 @@ def _crowded(spark: SparkSession, sf_dir: str):
 
 
 @query("""
-    SELECT CAST(sum(n) AS BIGINT) AS records_produced, CAST(sum(2 * n - 1) FILTER (n > 0) AS BIGINT) AS from_splits
-    FROM (SELECT c_nationkey, rn // 4 AS c, count(*) AS n
-          FROM (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rn FROM customer)
+    SELECT CAST(sum(n) AS BIGINT) AS records_produced, CAST(sum(2 * n - 1) FILTER (n > 0) AS BIGINT) AS from_splits,
+           CAST(sum(2 * n - 2) AS BIGINT) AS chunks_retried, CAST(sum(bytes) AS BIGINT) AS leaf_input_bytes
+    FROM (SELECT c_nationkey, rn // 4 AS c, count(*) AS n, sum(strlen(c_name)) AS bytes
+          FROM (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rn FROM customer)
           GROUP BY ALL)""")
 def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk of n records, each fitting alone only, takes 2n - 1 attempts."""
-    return _crowded(spark, sf_dir).metrics().select("records_produced", F.col("chunks_processed").alias("from_splits"))
+    return _crowded(spark, sf_dir).metrics().select("records_produced", F.col("chunks_processed").alias("from_splits"), "chunks_retried", "leaf_input_bytes")
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import UPPER, table
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.filter_audit import audit
 from textloom.llm.html_extraction import extract
 from textloom.llm.language_id import identify
 from textloom.llm.line_dedup import MIN_SITES, line_dedup
@@ -57,6 +58,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES = {
@@ -91,4 +97,30 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY t)""",
+    "op12_filter_audit": """
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        flags AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, MAP {
+                'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+                'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+                'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(w.doc_id > first, false)} AS f
+            FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (
+            SELECT part, good, toxic, filter_order, step, f[substr(filter_order, step, 1)] AS own,
+                   len(list_filter(map_values(f), lambda v: v)) AS n_failed,
+                   coalesce(list_min(list_filter(range(1, 6), lambda i: f[substr(filter_order, i, 1)])), 6) AS first
+            FROM flags, orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+        counted AS (
+            SELECT part, filter_order, step, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+                   count(*) FILTER (own AND first < step) AS redundant, count(*) FILTER (own AND n_failed = 1) AS unique_fails,
+                   count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+            FROM steps GROUP BY part, filter_order, step)
+        SELECT *, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM counted""",
 }

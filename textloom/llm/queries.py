@@ -10,6 +10,7 @@ from textloom.llm.filter_audit import audit
 from textloom.llm.html_extraction import extract
 from textloom.llm.language_id import identify
 from textloom.llm.line_dedup import MIN_SITES, line_dedup
+from textloom.llm.ngram_model import language_model_scores
 from textloom.llm.packing import best_fit
 from textloom.llm.secret_scan import digest, scan
 from textloom.llm.simhash import simhash_components
@@ -62,6 +63,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -74,6 +79,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_filter_audit": op12_filter_audit,
+    "op13_language_model": op13_language_model,
 }
 
 ORACLES = {

@@ -36,22 +36,22 @@ def text_flags(text: Column) -> dict[str, Column]:
 def flagged(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows part, A to E, good, toxic: what each document fails, and what it is labelled.
 
-    E is true if a smaller doc_id has the very same text, told by SHA-256; texts that
-    repeat are counted once for each task before any is shuffled. A null doc_id is
-    neither smaller nor larger than another, and rows of one doc_id don't repeat each
-    other. A document is good or toxic if any of its labels says so; without one it is neither.
+    E is true if a smaller doc_id has the very same text, told by SHA-256: if it isn't
+    the smallest of its text. Those are found by min(), combined before the shuffle, and
+    joined by id and text, so that no task gets all copies of a text. A null doc_id is
+    neither smaller nor larger than another, and rows of one doc_id don't repeat each other. A document is good or toxic if any of its labels says so; without one it is neither.
     """
     text = F.coalesce("text", F.lit(""))
     flags = [c.alias(f) for f, c in text_flags(F.col("_text")).items()]
     docs = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("_text"))
     # read again below; a text is looked at once
     docs = materialize(docs.select("doc_id", "part", F.unhex(F.sha2("_text", 256)).alias("digest"), *flags))
-    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = docs.groupBy(F.col("digest").alias("of")).agg(F.min("doc_id").alias("first"))
     of = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("labelled"))
     of = of.agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    docs = docs.join(first, "digest", "left").join(of, F.col("doc_id") == F.col("labelled"), "left")
+    docs = docs.join(first, (F.col("doc_id") == F.col("first")) & (F.col("digest") == F.col("of")), "left").join(of, F.col("doc_id") == F.col("labelled"), "left")
     said = [(F.coalesce(c, F.lit(0)) == 1).alias(c) for c in ("good", "toxic")]
-    return docs.select("part", *FILTERS[:4], F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"), *said)
+    return docs.select("part", *FILTERS[:4], (F.col("doc_id").isNotNull() & F.col("first").isNull()).alias("E"), *said)
 
 
 def replay(flags: DataFrame, filters: str = FILTERS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_path(path: str) -> str:
+    """A folder's path on the file system of every machine."""
+    url = urlparse(path)
+    if url.scheme not in ("", "file"):
+        raise ValueError(f"{path} can't be mapped into memory; give a folder that is mounted on all machines")
+    return url.path
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. lower() does the same, and faster, where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.collocations import COVER, LONGEST, MIN_COUNT, TOP, collocations
 from textloom.llm.common import UPPER, table
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.filter_audit import audit
@@ -59,6 +60,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
     "op13_language_model": op13_language_model,
 }
@@ -103,6 +109,31 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY t)""",
+    "op11_collocations": f"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        sized AS (SELECT lang, w, unnest(range(1, {LONGEST + 1})) AS k FROM w),
+        starts AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized WHERE len(w) >= k),
+        f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, c.k, h.k AS at, h.a AS l, t.a AS r, n,
+                   CAST((1000::HUGEINT * c.a * n) // (h.a::HUGEINT * t.a) AS BIGINT) AS score
+            FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS at FROM f WHERE k > 1) c
+            JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.at], ' ')
+            JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.at + 1:], ' ')
+            JOIN sizes ON sizes.lang = c.lang),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+        inside AS (
+            SELECT g.lang, array_to_string(g.w[i:i + m - 1], ' ') AS phrase, max(g.a) AS most
+            FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2)) g
+            GROUP BY ALL),
+        kept AS (
+            SELECT c.* FROM lowest c LEFT JOIN inside s ON s.lang = c.lang AND s.phrase = c.phrase
+            WHERE s.most IS NULL OR 100 * s.most < {COVER} * c.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept QUALIFY rank <= {TOP}""",
     "op12_filter_audit": """
         WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),

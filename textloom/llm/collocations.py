@@ -33,7 +33,7 @@ MIN_COUNT = 100
 COVER = 100
 TOP = 2000
 #: Bytes of text in a block; a longer text is a block by itself.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Parts of a language's phrases that are ranked by themselves first.
 RANKED = 64
 
@@ -102,10 +102,18 @@ def _longer_lists(folder: str, level: int):
     return run
 
 
-def _frequent(counted: DataFrame, by: list[str], min_count: int) -> DataFrame:
-    """Rows by, a, id: what occurs often enough, each with a number that stays as it was written."""
-    found = counted.groupBy(*by).agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
-    return materialize(found.withColumn("id", F.monotonically_increasing_id()))
+def _frequent(lists: DataFrame, by: list[str], min_count: int) -> tuple[DataFrame, DataFrame]:
+    """Rows block, code, id: the lists of what occurs often enough in all blocks; and rows by, id, a: what that is.
+
+    A list is shuffled once, summed up with its like, and goes if they are too short
+    together. A number is that of one of the lists, as they were written. No phrase has
+    more lists than there are blocks.
+    """
+    lists = materialize(lists.withColumn("at", F.monotonically_increasing_id()))
+    alike = Window.partitionBy(*by)
+    summed = lists.withColumn("a", F.sum("n").over(alike)).filter(F.col("a") >= min_count)
+    summed = materialize(summed.withColumn("id", F.min("at").over(alike)).drop("n"))
+    return summed.select("block", "code", "id"), summed.filter("at = id").select(*by, "id", "a")
 
 
 def phrases(documents: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -121,17 +129,15 @@ def phrases(documents: DataFrame, longest: int = LONGEST, min_count: int = MIN_C
     folder = f"{local_path(shared_dir(documents.sparkSession))}/lists-{uuid.uuid4().hex}"
     os.makedirs(folder)
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counted = materialize(docs.mapInArrow(_word_lists(folder, block), "block long, code long, lang string, word string, n long"))
-    sizes = materialize(counted.groupBy("lang").agg(F.sum("n").alias("n")))
-    found = _frequent(counted, ["lang", "word"], min_count)
+    lists = materialize(docs.mapInArrow(_word_lists(folder, block), "block long, code long, lang string, word string, n long"))
+    sizes = materialize(lists.groupBy("lang").agg(F.sum("n").alias("n")))
+    known, found = _frequent(lists, ["lang", "word"], min_count)
     none = F.array().cast("array<long>")
     shorter = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"))
-    by, levels = ["lang", "word"], []
+    levels = []
     for level in range(1, longest):
-        known = counted.join(found.select(*by, "id"), by).select("block", "code", "id")
         lists = known.groupBy("block").applyInArrow(_longer_lists(folder, level), "block long, code long, left long, right long, n long")
-        counted, by = materialize(lists), ["left", "right"]
-        found = _frequent(counted, by, min_count)
+        known, found = _frequent(lists, ["left", "right"], min_count)
         left = shorter.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), F.concat("heads", F.array("a")).alias("heads"))
         right = shorter.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("a")).alias("tails"))
         named = found.join(left, "left").join(right, "right")

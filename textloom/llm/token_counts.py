@@ -8,6 +8,7 @@ from sums over the histogram, which has a row for each length that occurs.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,11 +21,17 @@ from textloom.llm.common import materialize, running_totals
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenizer expression of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The expression that leaves a text as one piece.
+WHOLE = r"(?s).+"
+#: White space is cut out of a text from this many characters on.
+LONG_BLANKS = 10_000
+#: The characters that \s stands for in PATTERN.
+_long_blanks = re.compile(r"[\t-\r \x85\xa0  -     　]{%d,}" % LONG_BLANKS)
 #: Lengths that one window task of the running sums gets.
 STRETCH = 1024
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _encoder(ranks: bytes, pattern: str):
     import tiktoken
 
@@ -32,19 +39,37 @@ def _encoder(ranks: bytes, pattern: str):
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
 
+def _count(ranks: bytes, pattern: str, text: str) -> int:
+    """How many tokens a text has.
+
+    The encoder steps back through white space and holds a place for each character of
+    it, so long runs are cut out. By PATTERN all of a run but its last character is one
+    piece, and all of it at the end of a text; nothing before or after it is split otherwise.
+    """
+    encode = _encoder(ranks, pattern).encode_ordinary
+    if pattern != PATTERN or len(text) < LONG_BLANKS:
+        return len(encode(text))
+    n, done = 0, 0
+    for run in _long_blanks.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(encode(text[done : run.start()])) + len(_encoder(ranks, WHOLE).encode_ordinary(text[run.start() : end]))
+        done = end
+    return n + len(encode(text[done:]))
+
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """Rows doc_id, n_tokens, one per input row; a null or empty text has 0.
 
     `vocabulary` is a path on the driver to a file of ranks, about a megabyte, which
-    is broadcast. Special tokens in a text count as ordinary text.
+    is broadcast. Special tokens in a text count as ordinary text. By PATTERN texts and
+    their runs of any kind may be of any length; another pattern has to see to that itself.
     """
     with open(vocabulary, "rb") as file:
         ranks = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks.value, pattern).encode_ordinary
         for batch in batches:
-            counts = [len(encode(t.as_py() or "")) for t in batch.column("text")]
+            counts = [_count(ranks.value, pattern, t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     docs = documents.select("doc_id", "text")

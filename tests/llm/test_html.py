@@ -83,3 +83,20 @@ def test_deep_pages_in_linear_time(page):
     began = time.perf_counter()
     assert main_text(page).startswith("x")
     assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>One</p></article><article><p>Two</p></article>", "One\nTwo"),
+        ("<main><p>a</p></main><div><main><p>b</p></main></div><main>c</main>", "a\nb\nc"),
+        ("<article>x<article>y</article>z</article><article>w</article>", "x\ny\nz\nw"),
+        ("<body><form id=all><nav>n</nav><h1>T</h1><p>All</p><input value=q><button>Go</button></form></body>", "T\nAll"),
+        ("<form><div><article><p>In</p><form>q</form></article></div></form>", "In"),
+        ("<article><p>a</p></article><form><p>Your mail</p></form>", "a"),
+        ("<article><p hidden>kept</p><p style='display:none'>too</p></article>", "kept\ntoo"),
+        ("<div class=sticky-banner>x</div><div class='ad-300x250'>x</div><ol class=commentlist><li>x</ol><p>y</p>", "y"),
+    ],
+)
+def test_page_order_forms_and_what_is_kept(page, want):
+    assert main_text(page) == want

@@ -15,7 +15,7 @@ PAGES = [
     ("<p>no article</p><div>second <i>block</i></div><div class=sidebar>gone</div>", "no article\nsecond block"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>d<td>e</table>", "a\nb\nc\nd\ne"),
     ("<article><p>5 < 6 &lt; 7 &nbsp; 8 &copy; &unknown;</p></article>", "5 < 6 < 7 8 © &unknown;"),
-    ("<article><p title=\"a > b\">quoted</p><p hidden>h</p><p style='display: none'>n</p></article>", "quoted"),
+    ("<article><p title=\"a > b\">quoted</p><p hidden>h</p><p style='display: none'>n</p></article>", "quoted\nh\nn"),
     ("<p>unclosed <b>bold<p>next", "unclosed bold\nnext"),
     ("plain text", "plain text"), ("", ""), ("<!-- open", ""), ("<script>x", ""), ("<", "<"), ("<article></article>", ""),
     ("<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>", "deep"),

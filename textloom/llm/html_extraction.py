@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize
-from textloom.llm.html_tree import BLOCK, Node, blocks, hashes, parse, postorder
+from textloom.llm.html_tree import BLOCK, HEADINGS, Node, blocks, hashes, parse, preorder
 
 #: A subtree is template if it is on this many different pages of its host, and on this share of them.
 MIN_PAGES = 10
@@ -41,12 +41,12 @@ DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsored sponsors promo promos promoted banner banners "
     "nav navbar navigation navi menu menus breadcrumb breadcrumbs pagination pager toolbar topbar sidebar sidebars aside footer foot header masthead "
     "cookie cookies gdpr notice notices notification notifications alert popup popups modal overlay newsletter subscribe subscription signup login paywall "
-    "share sharing social related recommended comment comments reply replies disqus copyright".split()
+    "share sharing social related recommended comment comments commentlist cmt cmts reply replies disqus copyright".split()
 )
 #: Words that say where or how something is laid out. A name counts only if all its words are in these two lists.
 LAYOUT_WORDS = frozenset(
     "site page main top bottom left right global primary secondary inner outer wrapper wrap container box bar list area section block item items widget widgets "
-    "unit slot button buttons link links post posts thread form consent reader user users view the a of for js id".split()
+    "sticky floating fixed unit slot button buttons link links post posts thread form consent reader user users view the a of for js id".split()
 )
 #: The words that count on running text as well.
 ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertisements sponsored".split())
@@ -56,29 +56,26 @@ KEPT_TAGS = frozenset("html body main math".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 PROSE_PARTS = frozenset("li dt dd thead tbody tfoot tr td th caption figcaption".split())
 _word = re.compile(r"[a-z]+|[A-Z][a-z]*")
-_unseen = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 def _named(node: Node) -> bool:
     """Whether a name in class or id says that an element isn't main text: `cookie-notice`, but not `legal-theory`."""
     telling = ADVERT_WORDS if node.tag in PROSE - {"ul", "ol", "dl"} or node.tag in PROSE_PARTS else DROPPED_WORDS
     for name in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split():
-        words = {w.lower() for w in _word.findall(name)}
+        words = {w.lower() for w in _word.findall(name) if len(w) > 1}
         if words & telling and words <= DROPPED_WORDS | LAYOUT_WORDS:
             return True
     return False
 
 
 def _not_main(node: Node) -> bool:
-    """Whether an element's own tag, role, name or style says that it isn't main text."""
+    """Whether an element's own tag, role or name says that it isn't main text."""
     if node.tag in DROPPED_TAGS:
         return True
     a = node.attributes
     if not a or node.tag in KEPT_TAGS:
         return False
-    if a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-        return True
-    return bool(_unseen.search(a.get("style", ""))) or _named(node)
+    return a.get("role", "").lower() in DROPPED_ROLES or _named(node)
 
 
 class Survey(NamedTuple):
@@ -91,14 +88,27 @@ class Survey(NamedTuple):
     judged: dict[int, bool]
 
 
+def _holders(order: list[Node]) -> set[int]:
+    """The forms that stand around a page's main part, as some servers put one around everything; order has parents first."""
+    out: set[int] = set()
+    for node in order:
+        if node.tag in ("article", "main", "h1") or node.attributes.get("role") == "main":
+            up = node.parent
+            while up is not None and id(up) not in out:
+                out.add(id(up))
+                up = up.parent
+    return {id(n) for n in order if n.tag == "form" and id(n) in out}
+
+
 def survey(page: str) -> Survey:
     root = parse(page)
-    order = postorder(root)[::-1]  # parents first, in page order
+    order = preorder(root)
     dropped: set[int] = set()
+    holders = _holders(order)
     articles, mains, in_article, in_main = [], [], set(), set()
     for node in order:
         up = id(node.parent) if node.parent else None
-        if up in dropped or node is not root and _not_main(node):
+        if up in dropped or node is not root and id(node) not in holders and _not_main(node):
             dropped.add(id(node))
             continue
         for found, inside, fits in ((articles, in_article, node.tag == "article"), (mains, in_main, node.tag == "main" or node.attributes.get("role") == "main")):
@@ -122,7 +132,7 @@ def survey(page: str) -> Survey:
                         whole.add(id(c))
                     elif c.tag in BLOCK or c.tag in ("span", "a"):
                         prose = c.tag in PROSE
-                        if c.tag in BLOCK or node.tag not in PROSE:
+                        if (c.tag in BLOCK or node.tag not in PROSE) and not (c.tag in HEADINGS and id(c) in inside):
                             judged[id(c)] = prose and id(c) in inside
                         if prose or c.tag not in BLOCK:
                             whole.add(id(c))
@@ -220,10 +230,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     `text` has the blocks of the articles (else the main elements, else the body) in
     page order, one a line, with character references decoded and each run of white
     space, line breaks included, as one space. Left out are: scripts, styles, forms,
-    menus, headers, footers and asides by their tags or roles; elements that aren't
-    shown; those with a class or id all of whose words name such parts, adverts,
+    menus, headers, footers and asides by their tags or roles (but not a form around an
+    article, a main element or a first heading, as a whole); those with a class or id all of whose words name such parts, adverts,
     notices or comments; and the host's template (see `templates`). Of running text
-    names are looked at for adverts alone. Where a host has fewer than `min_pages`
+    names are looked at for adverts alone, and headings in articles are no template. Where a host has fewer than `min_pages`
     different pages, there is no template. A null or empty page, or one without main
     text, has an empty text. A null url is a host of its own. Repeated rows give
     repeated results; an empty table gives no rows; other columns are not read.

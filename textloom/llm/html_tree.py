@@ -149,6 +149,16 @@ def postorder(root: Node) -> list[Node]:
     return out
 
 
+def preorder(root: Node) -> list[Node]:
+    """All elements in page order, parents before children."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return out
+
+
 def hashes(root: Node) -> dict[int, int]:
     """For each element that holds text, by id(): a signed 64-bit hash of its subtree's tags and texts.
 

@@ -26,7 +26,7 @@ WHOLE = r"(?s).+"
 #: White space is cut out of a text from this many characters on.
 LONG_BLANKS = 10_000
 #: The characters that \s stands for in PATTERN.
-_long_blanks = re.compile(r"[\t-\r \x85\xa0  -     　]{%d,}" % LONG_BLANKS)
+_long_blanks = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANKS)
 #: Lengths that one window task of the running sums gets.
 STRETCH = 1024
 

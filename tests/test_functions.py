@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions.json import _canonical as canonical
 from textloom.functions.json import add_canonical, last_key_wins, opened_rows, strict_json
 from textloom.functions.text import decode_delimiter, encode_delimiter, human_size, ratio, split_literal, trim_space
 
@@ -83,8 +84,17 @@ def test_canonical(spark):
     texts = ['{"b":30,"a":[1.0,-0.0]}', ' {"a" : [1, 0], "b":30.0}', "12345678901234567", "x", None, '{"a":1e400}', '"\\u00e9"']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r["c"] for r in add_canonical(df, {"c": "t"}).orderBy("i").collect()]
-    assert got[0] == got[1] == '{"a":[1.0,0.0],"b":30.0}'
-    assert got[2:] == ["1.2345678901234568e+16", None, None, None, '"é"']
+    assert got[0] == got[1] == '{"a":[1,0],"b":30}'
+    assert got[2:] == ["12345678901234568", None, None, None, '"é"']
+
+
+def test_canonical_numbers_and_characters():
+    texts = {
+        "5.0": "5", "-0.0": "0", "1e20": "100000000000000000000", "1e21": "1e+21", "12345678901234567890": "12345678901234567000", "0.1": "0.1",
+        "0.00001": "0.00001", "1.5e-6": "0.0000015", "1e-7": "1e-7", "2.5e-12": "2.5e-12", '["1e-07",1e-05]': '["1e-07",0.00001]', '"\\ud800x"': '"\ufffdx"', '"?"': '"?"',
+        '"<a&b>\u2028 "': '"\\u003ca\\u0026b\\u003e\\u2028 "',
+    }
+    assert {t: canonical(t) for t in texts} == texts
 
 
 def test_opened_rows(spark):
@@ -93,7 +103,7 @@ def test_opened_rows(spark):
     shown = lambda p: p and p.replace("\x1f", "/")
     got = {(r["i"], r["pos"], shown(r["path"]), shown(r["parent"]), r["is_object"], r["identity"]) for r in rows if r["pos"] >= 0}
     single = {(1, "", None, True), (1, "/a", "", True), (1, "/a/x", "/a", False), (1, "/a/y", "/a", False), (1, "/b", "", False), (4, "", None, False)}
-    arrays = {(5, 0, "", None, True, "[2.0]"), (5, 0, "/k", "", False, "[2.0]"), (5, 1, "", None, True, None), (5, 1, "/j", "", False, None)}
+    arrays = {(5, 0, "", None, True, "[2]"), (5, 0, "/k", "", False, "[2]"), (5, 1, "", None, True, None), (5, 1, "/j", "", False, None)}
     assert got == {(i, 0, *r, None) for i, *r in single} | arrays
     assert {(r["i"], r["value"]) for r in rows if r["pos"] == -1} == {(1, "other"), (4, "other"), (5, "array"), (6, "array")}
-    assert {r["value"] for r in rows if shown(r["path"]) in ("/a/x", "/a/y")} == {"1.0", '[{"z":2.0}]'}
+    assert {r["value"] for r in rows if shown(r["path"]) in ("/a/x", "/a/y")} == {"1", '[{"z":2}]'}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,13 +97,37 @@ def _load(text: str):
     def number(x):
         if math.isinf(value := float(x)):
             raise ValueError("number out of range")
-        return value + 0.0
+        if not value.is_integer() or abs(value) >= 1e21:
+            return value
+        # the shortest digits that tell the double, with zeros after them
+        return int(value) if abs(value) < 1 << 53 else int(Decimal(repr(value)))
 
     return json.loads(text, parse_constant=refuse, parse_int=number, parse_float=number)
 
 
+#: A string, or a number that is written with a negative power of ten.
+_small = re.compile(r'"(?:[^"\\]|\\.)*"|(-?[0-9.]+e-[0-9]+)')
+_lone = re.compile("[\ud800-\udfff]")
+#: Characters that are written as escapes.
+ESCAPED = {ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}
+
+
+def _small_number(found: re.Match) -> str:
+    """Plain digits down to 0.000001, and then powers without leading zeros."""
+    if not (text := found[1]):
+        return found[0]
+    if abs(float(text)) >= 1e-6:
+        return format(Decimal(text), "f")
+    digits, power = text.split("e-")
+    return f"{digits}e-{int(power)}"
+
+
 def _dump(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "replace").decode()
+    """Sorted keys and no blanks; whole doubles as whole numbers; half of a surrogate pair is U+FFFD."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).translate(ESCAPED)
+    if "e-" in text:
+        text = _small.sub(_small_number, text)
+    return _lone.sub("\ufffd", text)
 
 
 def _canonical(text: str | None) -> str | None:

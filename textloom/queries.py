@@ -446,20 +446,20 @@ def _differences(kind: str) -> Query:
 
 
 def _record_sql(alias: str) -> str:
-    return f"""'{{"id":' || {alias}.id || '.0,"status":"' || {alias}.status || '"}}'"""
+    return f"""'{{"id":' || {alias}.id || ',"status":"' || {alias}.status || '"}}'"""
 
 
 QUERIES["missing_records"] = _differences("missing_record")
 ORACLES["missing_records"] = f"""
-    WITH {SIDES_SQL} SELECT CAST(o_custkey AS VARCHAR) AS case_id, '$[[' || id || '.0]]' AS path, 'missing_record' AS kind, {_record_sql("e")} AS expected, '' AS actual
+    WITH {SIDES_SQL} SELECT CAST(o_custkey AS VARCHAR) AS case_id, '$[[' || id || ']]' AS path, 'missing_record' AS kind, {_record_sql("e")} AS expected, '' AS actual
     FROM e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.o_custkey = e.o_custkey AND a.id = e.id)"""
 QUERIES["extra_records"] = _differences("extra_record")
 ORACLES["extra_records"] = f"""
-    WITH {SIDES_SQL} SELECT CAST(o_custkey AS VARCHAR) AS case_id, '$[[' || id || '.0]]' AS path, 'extra_record' AS kind, '' AS expected, {_record_sql("a")} AS actual
+    WITH {SIDES_SQL} SELECT CAST(o_custkey AS VARCHAR) AS case_id, '$[[' || id || ']]' AS path, 'extra_record' AS kind, '' AS expected, {_record_sql("a")} AS actual
     FROM a WHERE NOT EXISTS (SELECT 1 FROM e WHERE a.o_custkey = e.o_custkey AND a.id = e.id)"""
 QUERIES["field_differences"] = _differences("value")
 ORACLES["field_differences"] = f"""
-    WITH {SIDES_SQL} SELECT CAST(e.o_custkey AS VARCHAR) AS case_id, '$[[' || e.id || '.0]].status' AS path, 'value' AS kind, '"' || e.status || '"' AS expected, '"' || a.status || '"' AS actual
+    WITH {SIDES_SQL} SELECT CAST(e.o_custkey AS VARCHAR) AS case_id, '$[[' || e.id || ']].status' AS path, 'value' AS kind, '"' || e.status || '"' AS expected, '"' || a.status || '"' AS actual
     FROM e JOIN a ON e.o_custkey = a.o_custkey AND e.id = a.id WHERE e.status <> a.status"""
 
 

@@ -118,13 +118,13 @@ ORACLES = {
         starts AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized WHERE len(w) >= k),
         f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM starts GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
         cuts AS (
-            SELECT c.lang, c.phrase, c.a, c.k, h.k AS at, h.a AS l, t.a AS r, n,
+            SELECT c.lang, c.phrase, c.a, c.k, h.k AS head, h.a AS l, t.a AS r, n,
                    CAST((1000::HUGEINT * c.a * n) // (h.a::HUGEINT * t.a) AS BIGINT) AS score
-            FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS at FROM f WHERE k > 1) c
-            JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.at], ' ')
-            JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.at + 1:], ' ')
+            FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS head FROM f WHERE k > 1) c
+            JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.head], ' ')
+            JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.head + 1:], ' ')
             JOIN sizes ON sizes.lang = c.lang),
-        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, head) = 1),
         inside AS (
             SELECT g.lang, array_to_string(g.w[i:i + m - 1], ' ') AS phrase, max(g.a) AS most
             FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2)) g

@@ -108,3 +108,34 @@ def test_many_chunks_of_one_source(spark):
     began = time.perf_counter()
     assert chunk_texts(from_text(spark, "\n".join(["abc"] * 80_000)), "\n", 5).count() == 80_000
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("budget", [1, 7, 40, 300])
+def test_one_source_in_many_parts(spark, monkeypatch, budget):
+    """Parts and stretches far shorter than the source; records that reach over whole parts; gaps; a null key."""
+    rng = random.Random(budget)
+    monkeypatch.setattr("textloom.operators.chunk.PART", 2)
+    monkeypatch.setattr("textloom.operators.chunk.LEAST", 1)
+    monkeypatch.setattr("textloom.operators.chunk.TEXTS", 16)
+    rows, want = [], []
+    for key, n in ((0, 3000), (None, 700), (2, 1), (3, 33)):
+        pos, held, cur, chunks = 0, [], 0, []
+        for _ in range(n):
+            pos += rng.choice((1, 1, 1, 2, 40))
+            record = rng.choice("ab ") * (rng.randrange(1, 12) if rng.random() < 0.98 else 9 * budget + 1)
+            rows.append((key, pos, record, len(record)))
+            if held and cur + len(record) > budget:
+                chunks.append((held, cur))
+                held, cur = [], 0
+            held, cur = [*held, record], cur + len(record)
+        chunks.append((held, cur))
+        kept = [(t, c, len(h)) for h, c in chunks if (t := "\n".join(h).strip())]
+        want += [(key, i, *c) for i, c in enumerate(kept)]
+    recs = spark.createDataFrame(rows, "source_index long, record_pos int, record string, n_bytes int").repartition(5)
+    got = [tuple(r) for r in pack(recs, "\n", budget).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_pack_of_nothing(spark):
+    recs = spark.createDataFrame([], "source_index long, record_pos int, record string, n_bytes int")
+    assert pack(recs, "\n", 9).count() == 0

@@ -17,6 +17,7 @@ from textloom.functions.text import human_size, n_bytes, ratio, split_literal, t
 from textloom.model import Config, Request, byte_budget
 from textloom.operators.chunk import chunk_texts, halves, pack, records
 from textloom.operators.metrics import quality_summary
+from textloom.operators.order import numbered
 from textloom.operators.schema import fields_schema, prepare
 from textloom.operators.score import COUNTS, score
 from textloom.operators.validate import array_violations, validate
@@ -137,6 +138,34 @@ def pack_small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(pack(records(sources(spark, sf_dir), "\n"), "\n", SMALL_BUDGET))
 
 
+def one_source_sql(budget: int) -> str:
+    """Next-fit of all records as one source: from each chunk's start to the first record that it can't hold."""
+    space = r"[\s\x{85}\p{Z}\v]+"
+    return f"""
+        WITH RECURSIVE recs AS MATERIALIZED (
+            SELECT record, n, CAST(sum(n) OVER (ORDER BY doc_id, record_pos) - n AS BIGINT) AS start_byte
+            FROM (SELECT doc_id, record_pos, record, strlen(record) AS n FROM ({RECORDS_SQL}))),
+        starts AS (
+            SELECT min(start_byte) AS start_byte FROM recs
+            UNION ALL
+            SELECT start_byte FROM (SELECT (SELECT min(r.start_byte) FROM recs r WHERE r.start_byte > s.start_byte AND r.start_byte + r.n > s.start_byte + {budget}) AS start_byte FROM starts s) WHERE start_byte IS NOT NULL),
+        placed AS (SELECT r.*, s.start_byte AS start FROM recs r ASOF JOIN starts s ON r.start_byte >= s.start_byte),
+        joined AS (
+            SELECT start, regexp_replace(string_agg(record, chr(10) ORDER BY start_byte), '^{space}|{space}$', '', 'g') AS text,
+                   CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS n_records
+            FROM placed GROUP BY start)
+        SELECT CAST(row_number() OVER (ORDER BY start) - 1 AS INT) AS chunk_in_source, sha256(text) AS text_sha256, n_bytes, n_records
+        FROM joined WHERE text <> ''"""
+
+
+@query(one_source_sql(SMALL_BUDGET))
+def pack_one_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents after one another as one source, whose chunks are found in parallel."""
+    recs = numbered(records(sources(spark, sf_dir), "\n"), ["source_index", "record_pos"], "at", 0)
+    recs = recs.select(F.lit(0).cast("long").alias("source_index"), F.col("at").alias("record_pos"), "record", "n_bytes")
+    return hashed(pack(recs, "\n", SMALL_BUDGET)).drop("doc_id")
+
+
 @query("""
     WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
     h AS (SELECT doc_id,

@@ -3,11 +3,13 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StringType, StructField
 
-from textloom.functions.json import last_key_wins
+from textloom.functions.json import last_key_wins, met_rows, opened_rows
 from textloom.operators.metrics import quality_summary
-from textloom.operators.score import COUNTS, score
+from textloom.operators.score import COUNTS, compared, score, scores
 
 SCHEMA = "case_id string, repetition int, tier string, identity_fields array<string>, allow_additional_fields boolean, expected string, actual string, schema_valid boolean"
 
@@ -164,3 +166,28 @@ def test_summary(spark):
     assert (r["samples"], r["exact_matches"], r["record_recall"], r["record_precision"], r["field_accuracy"], r["unexpected_field_rate"], r["json_valid_rate"]) == (2, 1, 0.75, 1.0, 0.625, 0.125, 1.0)
     nothing = quality_summary(df.limit(0)).first()
     assert nothing["samples"] == 0 and nothing["record_recall"] == pytest.approx(0) and nothing["schema_valid_rate"] == 0
+
+
+def test_records_are_passed_on_in_pieces(monkeypatch):
+    """A task holds a bounded part of what texts become, however many there are in a batch or records in a text."""
+    ran = []
+    given = pa.record_batch({"k": ["a", "b"], "expected": [json.dumps([{"id": i, "s": "x" * 100} for i in range(40_000)]), "[1"], "actual": ["[]", "[]"], "ids": [["id"], ["id"]]})
+
+    class Frame:
+        schema = {"k": StructField("k", StringType())}
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            ran.append(run)
+
+    met_rows(Frame(), ["k"], "expected", "actual", "ids")
+    opened_rows(Frame(), ["k"], ["expected", "actual"], "ids")
+    for run, rows in zip(ran, (40_002, 120_003), strict=True):
+        out = list(run(iter([given])))
+        assert sum(map(len, out)) == rows and max(b.nbytes for b in out) < 8 << 20
+
+
+def test_scores_shuffle_partial_sums_alone(spark):
+    samples = spark.createDataFrame([("a", 1, "t", ["id"], False, '[{"id":1}]', '[{"id":1}]', True)], SCHEMA)
+    plan = scores(compared(samples))._jdf.queryExecution().executedPlan().toString()
+    (shuffled,) = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "hashpartitioning(case_id" in shuffled and plan.index("partial_sum") > plan.index("Exchange") and "Join" not in plan

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +125,11 @@ def _small_number(found: re.Match) -> str:
 
 def _dump(value) -> str:
     """Sorted keys and no blanks; whole doubles as whole numbers; half of a surrogate pair is U+FFFD."""
+    # most values are one of these, and need no more
+    if type(value) is int:
+        return str(value)
+    if type(value) is str and value.isascii() and value.isalnum():
+        return f'"{value}"'
     text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).translate(ESCAPED)
     if "e-" in text:
         text = _small.sub(_small_number, text)
@@ -206,14 +212,114 @@ def opened_rows(df: DataFrame, keys: list[str], sides: list[str], fields: str) -
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places = [], []
-            texts = [batch.column(s).to_pylist() for s in sides]
-            for i, names in enumerate(batch.column(fields).to_pylist()):
-                found = list(_open({s: _read(t[i]) for s, t in zip(sides, texts, strict=True)}, names or []))
-                rows += found
-                places += [i] * len(found)
-            columns = [batch.column(k).take(pa.array(places, pa.int64())) for k in keys]
-            columns += [pa.array([r[n] for r in rows], field.type) for n, field in enumerate(OPENED)]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, *OPENED.names])
+            rows, places, held = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                columns = [batch.column(k).take(pa.array(places, pa.int64())) for k in keys]  # noqa: B023
+                columns += [pa.array([r[n] for r in rows], field.type) for n, field in enumerate(OPENED)]  # noqa: B023
+                return pa.RecordBatch.from_arrays(columns, [*keys, *OPENED.names])
+
+            for i in range(len(batch)):
+                for r in _open({s: _read(batch.column(s)[i].as_py()) for s in sides}, batch.column(fields)[i].as_py() or []):
+                    rows.append(r)
+                    places.append(i)
+                    held += ROW + len(r[4] or "") + len(r[7])
+                    if held >= PIECE:
+                        yield flush()
+                        rows, places, held = [], [], 0
+            yield flush()
 
     return df.mapInArrow(run, f"{_fields(df, keys)}, side string, pos int, single boolean, identity string, path string, parent string, is_object boolean, value string")
+
+
+#: Characters that a task holds of what it makes out of texts, before it passes them on; and what a row counts for beside its texts.
+PIECE, ROW = 4 << 20, 100
+
+NOTHING = object()
+MEMBER = pa.struct([("path", pa.string()), ("expected", pa.string()), ("actual", pa.string()), ("objects", pa.bool_())])
+MET = pa.schema([("shape", pa.string()), ("unique", pa.bool_()), ("at", pa.string()), ("expected_pos", pa.int32()), ("actual_pos", pa.int32()), ("members", pa.list_(MEMBER))])
+
+
+def _meet(expected, actual) -> list[tuple]:
+    """The members of two values, as MEMBER; those below a value that isn't an object on both sides are left out."""
+    out, left = [], [("", expected, actual)]
+    while left:
+        path, e, a = left.pop()
+        if isinstance(e, dict) and isinstance(a, dict):
+            out.append((path, None, None, True))
+            left += [(path + STEP + k, v, a.get(k, NOTHING)) for k, v in e.items()]
+            left += [(path + STEP + k, NOTHING, v) for k, v in a.items() if k not in e]
+        else:
+            out.append((path, None if e is NOTHING else _dump(e), None if a is NOTHING else _dump(a), False))
+    return out
+
+
+def _identities(records: list, fields: list[str]) -> list[str] | None:
+    """The tuple of `fields` of each record; none unless each record has one of its own."""
+    if not all(isinstance(r, dict) and all(f in r for f in fields) for r in records):
+        return None
+    out = [_dump([r[f] for f in fields]) for r in records]
+    return out if len(set(out)) == len(out) else None
+
+
+def _pairs(expected: str | None, actual: str | None, fields: list[str]) -> Iterator[tuple]:
+    """The rows of MET for one row's texts."""
+    e, a = _read(expected), _read(actual)
+    kinds = [isinstance(v[0], list) for v in (e, a) if v]
+    shape = "invalid_expected" if not e else "invalid_json" if not a else "array" if all(kinds) else "type" if any(kinds) else "single"
+    if shape not in ("array", "single"):
+        yield shape, False, None, None, None, [("", expected, actual, False)]
+        return
+    sides = [v[0] if shape == "array" else [v[0]] for v in (e, a)]
+    names = [_identities(side, fields) for side in sides] if shape == "array" and fields else [None]
+    unique = None not in names
+    yield shape, unique, None, None, None, []
+    if not unique:
+        names = [[""] if shape == "single" else list(map(str, range(len(side)))) for side in sides]
+    place = {name: i for i, name in enumerate(names[1])}
+    for i, name in enumerate(names[0]):
+        j = place.pop(name, None)
+        yield shape, unique, name, i, j, _meet(sides[0][i], NOTHING if j is None else sides[1][j])
+    for name, j in place.items():
+        yield shape, unique, name, None, j, _meet(NOTHING, sides[1][j])
+
+
+def met_rows(df: DataFrame, kept: list[str], expected: str, actual: str, fields: str) -> DataFrame:
+    """Rows `kept` and MET: the records of the JSON texts in two columns, those that match in one row.
+
+    Both texts are of one row of `df`, so that their records meet there, without a
+    shuffle. shape is array or single, or else which check failed: invalid_expected,
+    invalid_json or type (an array against something else). A row without `at` stands for
+    the texts themselves, which it has as its only member if a check failed. Records match
+    by the tuple of the members named in `fields`, if each on both sides has one of its
+    own (`unique`), and by position otherwise; that is `at`, empty for texts that are no
+    arrays. members: the record under the empty path, and what is in objects of both
+    sides, at any depth. Values are canonical; null where a side has none, and for
+    objects on both sides. Arrays within are not entered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, held = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                members = [m for r in rows for m in r[5]]  # noqa: B023
+                of = [pa.array([m[n] for m in members], field.type) for n, field in enumerate(MEMBER)]
+                ends = pa.array(np.cumsum([0, *[len(r[5]) for r in rows]]), pa.int32())  # noqa: B023
+                columns = [batch.column(k).take(pa.array(places, pa.int64())) for k in kept]  # noqa: B023
+                columns += [pa.array([r[n] for r in rows], field.type) for n, field in enumerate(list(MET)[:5])]  # noqa: B023
+                columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(of, fields=list(MEMBER))))
+                return pa.RecordBatch.from_arrays(columns, [*kept, *MET.names])
+
+            for i in range(len(batch)):
+                for r in _pairs(batch.column(expected)[i].as_py(), batch.column(actual)[i].as_py(), batch.column(fields)[i].as_py() or []):
+                    rows.append(r)
+                    places.append(i)
+                    held += ROW + sum(ROW + len(p) + len(e or "") + len(a or "") for p, e, a, _ in r[5])
+                    if held >= PIECE:
+                        yield flush()
+                        rows, places, held = [], [], 0
+            yield flush()
+
+    member = "struct<path:string,expected:string,actual:string,objects:boolean>"
+    return df.mapInArrow(run, f"{_fields(df, kept)}, shape string, unique boolean, at string, expected_pos int, actual_pos int, members array<{member}>")

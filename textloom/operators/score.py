@@ -1,11 +1,11 @@
-"""Scoring extracted records against expected ones, as joins.
+"""Scoring extracted records against expected ones.
 
 A sample is one attempt at a case: expected and actual JSON texts, the case's
 identity fields and whether additional fields are allowed. One pass reads both
-texts and opens them: a row for each record and for each member of its objects, at
-any depth. Records of both sides are matched by identity or by position, and with
-them, in the same join, their members path by path. Differences are rows; counts
-are aggregates of them.
+texts, which lie in one row, and gives a row for each record of either side, matched
+by identity or by position, with its members, at any depth. Differences are
+expressions over members; counts are summed for each sample. So texts are never
+shuffled, and of records no more than partial sums.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.json import STEP, opened_rows
+from textloom.functions.json import STEP, met_rows, once
 from textloom.functions.storage import materialize
 
 KEY = ["case_id", "repetition"]
@@ -23,77 +23,114 @@ COUNTS = [
 ]
 
 
-def _opened(samples: DataFrame) -> DataFrame:
-    """The rows of opened_rows() for both sides, written once: KEY, side, pos, single, identity, path, parent, is_object, value."""
-    return materialize(opened_rows(samples, KEY, ["expected", "actual"], "identity_fields"))
+def _shown(at: Column, path: Column) -> Column:
+    """A path as differences show it: $, the record in brackets, and the members."""
+    return F.concat(F.lit("$"), F.when(at == "", F.lit("")).otherwise(F.concat(F.lit("["), at, F.lit("]"))), F.replace(path, F.lit(STEP), F.lit(".")))
 
 
-def shaped(samples: DataFrame, opened: DataFrame) -> DataFrame:
-    """`samples` with shape and json_valid.
+#: What a sample has beside its texts.
+ABOUT = ["tier", "schema_valid", "allow_additional_fields", "asked"]
 
-    shape is array, single, or which check failed: invalid_expected, invalid_json
-    or type (an array against something else).
-    """
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
-    roots = opened.filter("pos = -1").groupBy(*KEY).agg(of("expected").alias("_e"), of("actual").alias("_a"))
-    e, a = F.col("_e"), F.col("_a")
-    shape = (
-        F.when(e.isNull(), "invalid_expected").when(a.isNull(), "invalid_json")
-        .when((e == "array") & (a == "array"), "array").when((e == "array") | (a == "array"), "type").otherwise("single")
-    )
-    out = samples.join(roots, KEY, "left").withColumn("shape", shape).drop("_e", "_a")
-    return out.withColumn("json_valid", ~F.col("shape").isin("invalid_expected", "invalid_json"))
 
+def compared(samples: DataFrame) -> DataFrame:
+    """Rows KEY, ABOUT, json_valid, shape, unique, at, expected_pos, actual_pos, members, found: one for each sample, without `at`, and for each record.
 
-def _by_identity(samples: DataFrame, opened: DataFrame) -> DataFrame:
-    """KEY of the samples whose records on both sides all have an identity of their own."""
-    asked = samples.filter((F.size("identity_fields") > 0) & (F.col("shape") == "array")).select(*KEY)
-    records = opened.filter("path = '' and not single")
-    twice = records.groupBy(*KEY, "side", "identity").agg(F.count("*").alias("n")).filter("identity is null or n > 1")
-    return asked.join(twice.select(*KEY).distinct(), KEY, "left_anti")
+    found: the differences of matched records, each with path, kind (value, type,
+    missing_field or unexpected_field), expected and actual.
+    """
+    given = samples.withColumn("asked", F.coalesce(F.size("identity_fields") > 0, F.lit(False)))
+    rows = met_rows(given, [*KEY, *ABOUT], "expected", "actual", "identity_fields")
+    matched = F.col("expected_pos").isNotNull() & F.col("actual_pos").isNotNull()
+
+    def difference(m: Column) -> Column:
+        kind = (
+            F.when(m["objects"], F.lit(None)).when(m["actual"].isNull(), "missing_field").when(m["expected"].isNull(), "unexpected_field")
+            .when(m["expected"].startswith("{"), "type").when(m["expected"] != m["actual"], "value")
+        )
+        return F.struct(m["path"].alias("path"), kind.alias("kind"), F.coalesce(m["expected"], F.lit("")).alias("expected"), F.coalesce(m["actual"], F.lit("")).alias("actual"))
+
+    allowed = F.coalesce(F.col("allow_additional_fields"), F.lit(False))
+    found = F.filter(F.transform("members", difference), lambda d: d["kind"].isNotNull() & ~(allowed & (d["kind"] == "unexpected_field")))
+    json_valid = ~F.col("shape").isin("invalid_expected", "invalid_json")
+    rows = rows.withColumn("json_valid", json_valid).withColumn("schema_valid", F.col("schema_valid") & F.col("json_valid"))
+    return once(rows, F.when(matched, found).otherwise(F.filter(found, lambda _: F.lit(False))), "found")
+
+
+def _counts() -> dict[str, Column]:
+    """What a row of compared() adds to its sample's COUNTS."""
+    kinds = F.col("found")["kind"]
+    of = lambda *names: F.size(F.filter(kinds, lambda k: k.isin(*names)))
+    here = lambda side: F.col(f"{side}_pos").isNotNull()
+    matched = here("expected") & here("actual")
+    expected = F.filter("members", lambda m: (m["path"] != "") & (m["objects"] | m["expected"].isNotNull()))
 
+    # every expected member above a difference, or at it, is not correct
+    def above(d: Column) -> Column:
+        steps = F.split(d["path"], STEP)
+        return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), STEP))
 
-def _joined(opened: DataFrame, with_identity: DataFrame) -> DataFrame:
-    """One row for each record and member of either side: KEY, at, path, parent, and pos, object, value of each side.
+    wrong = F.flatten(F.transform("found", above))
+    correct = F.when(F.size("found") == 0, F.size(expected)).otherwise(F.size(F.array_except(F.transform(expected, lambda m: m["path"]), wrong)))
+    one = lambda when: when.cast("int")
+    return {
+        "expected_records": one(here("expected")), "actual_records": one(here("actual")), "matched_records": one(matched),
+        "missing_records": one(here("expected") & ~here("actual")), "extra_records": one(here("actual") & ~here("expected")),
+        "expected_fields": F.when(matched, F.size(expected)), "correct_fields": F.when(matched, correct),
+        "incorrect_fields": of("value", "type"), "missing_fields": of("missing_field"), "unexpected_fields": of("unexpected_field"),
+    }
 
-    at is the record's name in paths. Both sides are there for the records that match and the members that they share.
-    """
-    known = with_identity.withColumn("_by_identity", F.lit(True))
-    at = F.when(F.col("single"), "").when(F.col("_by_identity"), F.col("identity")).otherwise(F.col("pos").cast("string"))
-    named = opened.filter("pos >= 0").join(known, KEY, "left").withColumn("at", at)
 
-    def side(name: str) -> DataFrame:
-        own = [F.col(c).alias(f"{name}_{n}") for c, n in (("pos", "pos"), ("is_object", "object"), ("value", "value"), ("parent", "parent"))]
-        return named.filter(F.col("side") == name).select(*KEY, "at", "path", *own)
+def _moved() -> Column:
+    """Whether a record isn't at the same place on both sides."""
+    return F.col("at").isNotNull() & ~F.col("expected_pos").eqNullSafe(F.col("actual_pos"))
 
-    both = side("expected").join(side("actual"), [*KEY, "at", "path"], "full_outer")
-    return materialize(both.withColumn("parent", F.coalesce("expected_parent", "actual_parent")).drop("expected_parent", "actual_parent"))
 
+def _fell_back() -> Column:
+    return (F.col("shape") == "array") & F.col("asked") & ~F.col("unique")
 
-def _shown(at: Column, path: Column) -> Column:
-    """A path as differences show it: $, the record in brackets, and the members."""
-    return F.concat(F.lit("$"), F.when(at == "", F.lit("")).otherwise(F.concat(F.lit("["), at, F.lit("]"))), F.replace(path, F.lit(STEP), F.lit(".")))
 
+def scores(rows: DataFrame) -> DataFrame:
+    """Of rows of compared(): one row per sample."""
+    same = ["tier", "json_valid", "schema_valid", "shape", "asked", "unique"]
+    added = rows.select(*KEY, *same, _moved().cast("int").alias("_moved"), *[c.alias(n) for n, c in _counts().items()])
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*COUNTS, "_moved")]
+    out = added.groupBy(*KEY, *same).agg(*sums)
+    clean = sum((F.col(c) for c in ("missing_records", "extra_records", "incorrect_fields", "missing_fields", "unexpected_fields")), F.lit(0)) == 0
+    order = (
+        F.when(F.col("shape") == "single", F.lit(True)).when(F.col("shape") != "array", F.lit(False)).when(F.col("unique"), F.col("_moved") == 0)
+        .otherwise(clean & F.col("schema_valid") & ~_fell_back())
+    )
+    out = out.withColumn("order_correct", order).withColumn("exact_match", F.col("schema_valid") & clean & F.col("order_correct"))
+    return out.select(*KEY, "tier", "json_valid", "schema_valid", "order_correct", *COUNTS, "exact_match")
 
-def _members(joined: DataFrame, samples: DataFrame) -> DataFrame:
-    """One row for each compared member of matched records: KEY, at, path, expected, actual, diff.
 
-    The whole record has the empty path. diff is null, value, type, missing_field
-    or unexpected_field. Members below a record or member that isn't an object on
-    both sides are not compared.
-    """
-    e, a = F.col("expected_value"), F.col("actual_value")
-    both_objects = F.col("expected_object") & F.col("actual_object")
-    differs = F.when(both_objects, F.lit(None)).when(F.col("expected_object"), F.lit("type")).when(e != a, F.lit("value"))
-    columns = [*KEY, "at", "path", F.coalesce(e, F.lit("")).alias("expected"), F.coalesce(a, F.lit("")).alias("actual")]
-    shared = joined.filter(e.isNotNull() & a.isNotNull()).select(*columns, differs.cast("string").alias("diff"))
+def differences(rows: DataFrame) -> DataFrame:
+    """Of rows of compared(): one row per difference."""
+    text = lambda side: F.coalesce(F.get("members", F.lit(0))[side], F.lit(""))
+    note = lambda when, what, expected, actual: F.when(when, F.struct(F.lit("$").alias("path"), F.lit(what).alias("kind"), expected.alias("expected"), actual.alias("actual")))
+    whole = F.array(
+        note(F.col("shape") == "invalid_expected", "invalid_expected", F.lit("valid JSON"), F.lit("")),
+        note(F.col("shape") == "invalid_json", "invalid_json", F.lit("valid JSON"), text("actual")),
+        note(F.col("json_valid") & ~F.col("schema_valid"), "schema_validation", F.lit("schema-valid JSON"), F.lit("")),
+        note(F.col("shape") == "type", "type", text("expected"), text("actual")),
+        note(_fell_back(), "identity", F.lit("records with unique identity fields"), F.lit("missing or duplicate identity")),
+    )
+    notes = rows.filter("at is null").select(*KEY, F.explode(F.filter(whole, lambda x: x.isNotNull())).alias("d")).select(*KEY, "d.*")
+
+    # the records' names, of samples alone where one is elsewhere
+    named = rows.filter("unique and at is not null")
+    moved = named.filter(_moved()).select(*KEY).distinct()
+    in_order = lambda side: F.array_sort(F.collect_list(F.when(F.col(f"{side}_pos").isNotNull(), F.struct(f"{side}_pos", "at"))))
+    names = lambda side: F.to_json(F.transform(in_order(side), lambda x: x["at"])).alias(side)
+    order = named.select(*KEY, "at", "expected_pos", "actual_pos").join(moved, KEY, "left_semi").groupBy(*KEY).agg(names("expected"), names("actual"))
+    order = order.select(*KEY, F.lit("$").alias("path"), F.lit("order").alias("kind"), "expected", "actual")
 
-    # members of one side, whose parent is an object on both
-    objects = joined.filter(both_objects).select(*KEY, "at", F.col("path").alias("parent"))
-    alone = joined.filter((F.col("path") != "") & (e.isNull() | a.isNull())).join(objects, [*KEY, "at", "parent"], "left_semi")
-    alone = alone.join(samples.filter("allow_additional_fields").select(*KEY, F.lit(True).alias("_more")), KEY, "left")
-    alone = alone.filter(a.isNull() | F.col("_more").isNull()).select(*columns, F.when(a.isNull(), "missing_field").otherwise("unexpected_field").alias("diff"))
-    return shared.unionByName(alone)
+    records = rows.filter("at is not null")
+    kind_of = F.when(F.col("actual_pos").isNull(), F.lit("missing_record")).when(F.col("expected_pos").isNull(), F.lit("extra_record"))
+    lost = records.select(*KEY, _shown(F.col("at"), F.lit("")).alias("path"), kind_of.alias("kind"), text("expected").alias("expected"), text("actual").alias("actual"))
+    fields = records.select(*KEY, "at", F.explode("found").alias("d"))
+    fields = fields.select(*KEY, _shown(F.col("at"), F.col("d.path")).alias("path"), "d.kind", "d.expected", "d.actual")
+    return notes.unionByName(order).unionByName(lost.filter("kind is not null")).unionByName(fields)
 
 
 def score(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,65 +146,9 @@ def score(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     sides has a tuple of its own; otherwise by position, an `identity` difference
     being left if the case has some. A field counts as correct if nothing below it
     differs, and counts beside the fields below it.
-    """
-    given = materialize(samples)
-    opened = _opened(given)
-    s = materialize(shaped(given, opened))
-    with_identity = materialize(_by_identity(s, opened))
-    joined = _joined(opened, with_identity)
-    pairs = joined.filter("path = ''").withColumnsRenamed({"expected_value": "expected_record", "actual_value": "actual_record"})
-    compared = materialize(_members(joined, s))
-    found = compared.filter("diff is not null")
-
-    kind_of = F.when(F.col("actual_record").isNull(), F.lit("missing_record")).when(F.col("expected_record").isNull(), F.lit("extra_record"))
-    lost = pairs.select(*KEY, _shown(F.col("at"), F.lit("")).alias("path"), kind_of.alias("kind"), F.coalesce("expected_record", F.lit("")).alias("expected"), F.coalesce("actual_record", F.lit("")).alias("actual"))
-    lost = lost.filter("kind is not null")
-    fields = found.select(*KEY, _shown(F.col("at"), F.col("path")).alias("path"), F.col("diff").alias("kind"), "expected", "actual")
-
-    # every expected member above a difference, or at it, is not correct
-    steps = F.split("path", STEP)
-    above = found.select(*KEY, "at", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), STEP))).alias("path")).distinct()
-    counted = compared.filter("path <> '' and (diff is null or diff <> 'unexpected_field')").select(*KEY, "at", "path")
-    good = counted.join(above, [*KEY, "at", "path"], "left_anti").groupBy(*KEY).agg(F.count("*").alias("correct_fields"))
-    by_field = compared.groupBy(*KEY).agg(
-        F.count_if((F.col("path") != "") & (F.col("diff").isNull() | (F.col("diff") != "unexpected_field"))).alias("expected_fields"),
-        F.count_if(F.col("diff").isin("value", "type")).alias("incorrect_fields"),
-        F.count_if(F.col("diff") == "missing_field").alias("missing_fields"),
-        F.count_if(F.col("diff") == "unexpected_field").alias("unexpected_fields"),
-    )
-    in_order = lambda side: F.array_sort(F.collect_list(F.when(F.col(f"{side}_pos").isNotNull(), F.struct(f"{side}_pos", "at"))))
-    names = lambda side: F.transform(F.col(f"{side}_order"), lambda x: x["at"])
-    by_record = pairs.groupBy(*KEY).agg(
-        F.count("expected_pos").alias("expected_records"),
-        F.count("actual_pos").alias("actual_records"),
-        F.count_if(F.col("expected_pos").isNotNull() & F.col("actual_pos").isNotNull()).alias("matched_records"),
-        F.count_if(F.col("actual_pos").isNull()).alias("missing_records"),
-        F.count_if(F.col("expected_pos").isNull()).alias("extra_records"),
-        in_order("expected").alias("expected_order"),
-        in_order("actual").alias("actual_order"),
-    )
 
-    out = s.select(*KEY, "tier", "schema_valid", "json_valid", "shape", "identity_fields", "expected", "actual")
-    out = out.join(with_identity.withColumn("by_identity", F.lit(True)), KEY, "left").join(by_record, KEY, "left").join(by_field, KEY, "left").join(good, KEY, "left")
-    out = out.fillna(0, COUNTS).fillna(False, ["by_identity"]).withColumn("schema_valid", F.col("schema_valid") & F.col("json_valid"))
-    fell_back = (F.col("shape") == "array") & (F.size("identity_fields") > 0) & ~F.col("by_identity")
-    same_order = F.coalesce(names("expected") == names("actual"), F.lit(True))
-    clean = sum((F.col(c) for c in ("missing_records", "extra_records", "incorrect_fields", "missing_fields", "unexpected_fields")), F.lit(0)) == 0
-    order = (
-        F.when(F.col("shape") == "single", F.lit(True)).when(F.col("shape") != "array", F.lit(False)).when(F.col("by_identity"), same_order)
-        .otherwise(clean & F.col("schema_valid") & ~fell_back)
-    )
-    out = out.withColumn("order_correct", order).withColumn("exact_match", F.col("schema_valid") & clean & order)
-
-    note = lambda when, what, expected, actual: F.when(when, F.struct(F.lit("$").alias("path"), F.lit(what).alias("kind"), expected.alias("expected"), actual.alias("actual")))
-    whole = F.array(
-        note(F.col("shape") == "invalid_expected", "invalid_expected", F.lit("valid JSON"), F.lit("")),
-        note(F.col("shape") == "invalid_json", "invalid_json", F.lit("valid JSON"), F.coalesce("actual", F.lit(""))),
-        note(F.col("json_valid") & ~F.col("schema_valid"), "schema_validation", F.lit("schema-valid JSON"), F.lit("")),
-        note(F.col("shape") == "type", "type", F.col("expected"), F.col("actual")),
-        note(fell_back, "identity", F.lit("records with unique identity fields"), F.lit("missing or duplicate identity")),
-        note(F.col("by_identity") & ~F.col("order_correct"), "order", F.to_json(names("expected")), F.to_json(names("actual"))),
-    )
-    global_notes = out.select(*KEY, F.explode(F.filter(whole, lambda x: x.isNotNull())).alias("d")).select(*KEY, "d.*")
-    scores = out.select(*KEY, "tier", "json_valid", "schema_valid", "order_correct", *COUNTS, "exact_match")
-    return scores, global_notes.unionByName(lost).unionByName(fields)
+    Compared records are written once, as both results read them. For one of the
+    results alone, scores() or differences() of compared() write nothing.
+    """
+    rows = materialize(compared(samples))
+    return scores(rows), differences(rows)

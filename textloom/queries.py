@@ -19,7 +19,7 @@ from textloom.operators.chunk import chunk_texts, halves, pack, records
 from textloom.operators.metrics import quality_summary
 from textloom.operators.order import numbered
 from textloom.operators.schema import fields_schema, prepare
-from textloom.operators.score import COUNTS, score
+from textloom.operators.score import COUNTS, compared, differences, scores
 from textloom.operators.validate import array_violations, validate
 from textloom.plans.engine import Engine, extract_each, extract_groups
 from textloom.plans.extractors import JsonExtractor, RuleExtractor, rule_table, typed
@@ -402,26 +402,21 @@ def _order_samples(spark: SparkSession, sf_dir: str, identity: bool) -> DataFram
     last_key_wins(spark)
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
+    # a customer's orders by key: a handful, gathered once
+    sides = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("o_orderstatus").alias("s")))).alias("_orders"))
     record = lambda k, status: F.concat(F.lit('{"id":'), k.cast("string"), F.lit(',"status":"'), status, F.lit('"}'))
-    status = F.when(key % CHANGED == 0, F.lit("?")).otherwise(F.col("o_orderstatus"))
-    sides = o.groupBy("o_custkey").agg(
-        _array(F.struct(key.alias("k"), record(key, F.col("o_orderstatus")).alias("r"))).alias("expected"),
-        _array(F.when(key % DROPPED != 0, F.struct(key.alias("k"), record(key, status).alias("r")))).alias("_kept"),
-        _array(F.when(key % ADDED == 0, F.struct(key.alias("k"), record(-key, status).alias("r")))).alias("_added"),
-    )
+    status = lambda o: F.when(o["k"] % CHANGED == 0, F.lit("?")).otherwise(o["s"])
+    every = F.transform("_orders", lambda o: record(o["k"], o["s"]))
+    kept = F.transform(F.filter("_orders", lambda o: o["k"] % DROPPED != 0), lambda o: record(o["k"], status(o)))
+    added = F.transform(F.filter("_orders", lambda o: o["k"] % ADDED == 0), lambda o: record(-o["k"], status(o)))
     text = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
     ids = F.array(F.lit("id")) if identity else F.array().cast("array<string>")
     return sides.select(
         F.col("o_custkey").cast("string").alias("case_id"), F.lit(1).alias("repetition"), F.lit("conformance").alias("tier"), ids.alias("identity_fields"),
-        F.lit(False).alias("allow_additional_fields"), text(F.col("expected")).alias("expected"), text(F.concat("_kept", "_added")).alias("actual"), F.lit(True).alias("schema_valid"),
+        F.lit(False).alias("allow_additional_fields"), text(every).alias("expected"), text(F.concat(kept, added)).alias("actual"), F.lit(True).alias("schema_valid"),
     )
 
 
-def _array(row: Column) -> Column:
-    """The texts of one customer's orders, by key: a handful."""
-    return F.transform(F.array_sort(F.collect_list(row)), lambda s: s["r"])
-
-
 SIDES_SQL = f"""
     e AS (SELECT o_custkey, o_orderkey AS id, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders),
     a0 AS (
@@ -458,18 +453,18 @@ SCORED = ["case_id", "expected_records", "actual_records", "matched_records", "m
 @query(BY_IDENTITY_SQL)
 def identity_join_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3, Q6, Q8, Q10: records matched by identity, over every customer."""
-    return score(_order_samples(spark, sf_dir, True))[0].select(*SCORED)
+    return scores(compared(_order_samples(spark, sf_dir, True))).select(*SCORED)
 
 
 @query(BY_POSITION_SQL)
 def positional_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5: the same records matched by position."""
-    return score(_order_samples(spark, sf_dir, False))[0].select(*SCORED)
+    return scores(compared(_order_samples(spark, sf_dir, False))).select(*SCORED)
 
 
 def _differences(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return score(_order_samples(spark, sf_dir, True))[1].filter(F.col("kind") == kind).select("case_id", "path", "kind", "expected", "actual")
+        return differences(compared(_order_samples(spark, sf_dir, True))).filter(F.col("kind") == kind).select("case_id", "path", "kind", "expected", "actual")
 
     return run
 
@@ -499,7 +494,7 @@ ORACLES["field_differences"] = f"""
     FROM ({BY_IDENTITY_SQL})""")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3, A4: counts and micro-averaged ratios."""
-    r = quality_summary(score(_order_samples(spark, sf_dir, True))[0])
+    r = quality_summary(scores(compared(_order_samples(spark, sf_dir, True))))
     return r.select("samples", "exact_matches", "order_correct", "record_recall", "record_precision", "field_accuracy", "order_correct_rate")
 
 
@@ -564,14 +559,14 @@ COUNTED = ", ".join(f"CAST(n[{i + 1}] AS BIGINT) AS {c}" for i, c in enumerate(C
     FROM ({CASES_SQL})""")
 def score_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1, Q2, Q4, Q7, Q9: broken texts, single values, types against each other, repeated identities, arrays within."""
-    return score(_case_samples(spark, sf_dir))[0].select("case_id", *COUNTS, "json_valid", "order_correct", "exact_match")
+    return scores(compared(_case_samples(spark, sf_dir))).select("case_id", *COUNTS, "json_valid", "order_correct", "exact_match")
 
 
 @query(f"""
     SELECT CAST(p_partkey AS VARCHAR) AS case_id, unnest(kinds) AS kind FROM ({CASES_SQL})""")
 def score_difference_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1, Q2, Q4, Q7, Q9: the differences of the same samples."""
-    return score(_case_samples(spark, sf_dir))[1].select("case_id", "kind")
+    return differences(compared(_case_samples(spark, sf_dir))).select("case_id", "kind")
 
 
 # --- failures and splits -------------------------------------------------------------------------

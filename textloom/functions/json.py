@@ -8,7 +8,6 @@ import re
 from collections.abc import Iterator
 from decimal import Decimal
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,19 +90,24 @@ def member(value: Column, name: str) -> Column:
     return F.get(F.map_values(F.map_filter(members(value), lambda k, _: k == F.lit(name))), F.lit(0))
 
 
-def _load(text: str):
-    def refuse(name):
-        raise ValueError(name)
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _number(text: str) -> float | int:
+    if math.isinf(value := float(text)):
+        raise ValueError("number out of range")
+    if not value.is_integer() or abs(value) >= 1e21:
+        return value
+    # the shortest digits that tell the double, with zeros after them
+    return int(value) if abs(value) < 1 << 53 else int(Decimal(repr(value)))
+
 
-    def number(x):
-        if math.isinf(value := float(x)):
-            raise ValueError("number out of range")
-        if not value.is_integer() or abs(value) >= 1e21:
-            return value
-        # the shortest digits that tell the double, with zeros after them
-        return int(value) if abs(value) < 1 << 53 else int(Decimal(repr(value)))
+_decoder = json.JSONDecoder(parse_constant=_refuse, parse_int=lambda text: int(text) if len(text) < 16 else _number(text), parse_float=_number)
 
-    return json.loads(text, parse_constant=refuse, parse_int=number, parse_float=number)
+
+def _load(text: str):
+    return _decoder.decode(text)
 
 
 #: A string, or a number that is written with a negative power of ten.
@@ -123,6 +127,9 @@ def _small_number(found: re.Match) -> str:
     return f"{digits}e-{int(power)}"
 
 
+_encoder = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def _dump(value) -> str:
     """Sorted keys and no blanks; whole doubles as whole numbers; half of a surrogate pair is U+FFFD."""
     # most values are one of these, and need no more
@@ -130,7 +137,7 @@ def _dump(value) -> str:
         return str(value)
     if type(value) is str and value.isascii() and value.isalnum():
         return f'"{value}"'
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).translate(ESCAPED)
+    text = _encoder.encode(value).translate(ESCAPED)
     if "e-" in text:
         text = _small.sub(_small_number, text)
     return _lone.sub("\ufffd", text)
@@ -240,48 +247,59 @@ MEMBER = pa.struct([("path", pa.string()), ("expected", pa.string()), ("actual",
 MET = pa.schema([("shape", pa.string()), ("unique", pa.bool_()), ("at", pa.string()), ("expected_pos", pa.int32()), ("actual_pos", pa.int32()), ("members", pa.list_(MEMBER))])
 
 
-def _meet(expected, actual) -> list[tuple]:
-    """The members of two values, as MEMBER; those below a value that isn't an object on both sides are left out."""
-    out, left = [], [("", expected, actual)]
+def _meet(expected, actual, out: tuple[list, list, list, list]) -> int:
+    """Append the members of two values to the columns of MEMBER, and tell how much that is; those below a value that isn't an object on both sides are left out."""
+    paths, expecteds, actuals, objects = out
+    left, size = [("", expected, actual)], 0
     while left:
         path, e, a = left.pop()
-        if isinstance(e, dict) and isinstance(a, dict):
-            out.append((path, None, None, True))
-            left += [(path + STEP + k, v, a.get(k, NOTHING)) for k, v in e.items()]
-            left += [(path + STEP + k, NOTHING, v) for k, v in a.items() if k not in e]
+        both = isinstance(e, dict) and isinstance(a, dict)
+        of_e = of_a = None
+        if both:
+            below = path + STEP
+            left += [(below + k, v, a.get(k, NOTHING)) for k, v in e.items()]
+            left += [(below + k, NOTHING, a[k]) for k in a.keys() - e.keys()]
         else:
-            out.append((path, None if e is NOTHING else _dump(e), None if a is NOTHING else _dump(a), False))
-    return out
+            if e is not NOTHING:
+                of_e = _dump(e)
+                size += len(of_e)
+            if a is not NOTHING:
+                of_a = _dump(a)
+                size += len(of_a)
+        paths.append(path if path.isascii() else _lone.sub("\ufffd", path))
+        expecteds.append(of_e)
+        actuals.append(of_a)
+        objects.append(both)
+        size += ROW + len(path)
+    return size
 
 
 def _identities(records: list, fields: list[str]) -> list[str] | None:
     """The tuple of `fields` of each record; none unless each record has one of its own."""
     if not all(isinstance(r, dict) and all(f in r for f in fields) for r in records):
         return None
-    out = [_dump([r[f] for f in fields]) for r in records]
+    out = [f"[{','.join([_dump(r[f]) for f in fields])}]" for r in records]
     return out if len(set(out)) == len(out) else None
 
 
-def _pairs(expected: str | None, actual: str | None, fields: list[str]) -> Iterator[tuple]:
-    """The rows of MET for one row's texts."""
+def _pairs(expected: str | None, actual: str | None, fields: list[str]) -> tuple[str, bool, list[tuple]]:
+    """shape and unique of MET for one row's texts, and at, expected_pos, actual_pos and both values of each record."""
     e, a = _read(expected), _read(actual)
     kinds = [isinstance(v[0], list) for v in (e, a) if v]
     shape = "invalid_expected" if not e else "invalid_json" if not a else "array" if all(kinds) else "type" if any(kinds) else "single"
     if shape not in ("array", "single"):
-        yield shape, False, None, None, None, [("", expected, actual, False)]
-        return
+        return shape, False, []
     sides = [v[0] if shape == "array" else [v[0]] for v in (e, a)]
     names = [_identities(side, fields) for side in sides] if shape == "array" and fields else [None]
     unique = None not in names
-    yield shape, unique, None, None, None, []
     if not unique:
         names = [[""] if shape == "single" else list(map(str, range(len(side)))) for side in sides]
-    place = {name: i for i, name in enumerate(names[1])}
+    place, out = {name: i for i, name in enumerate(names[1])}, []
     for i, name in enumerate(names[0]):
         j = place.pop(name, None)
-        yield shape, unique, name, i, j, _meet(sides[0][i], NOTHING if j is None else sides[1][j])
-    for name, j in place.items():
-        yield shape, unique, name, None, j, _meet(NOTHING, sides[1][j])
+        out.append((name, i, j, sides[0][i], NOTHING if j is None else sides[1][j]))
+    out += [(name, None, j, NOTHING, sides[1][j]) for name, j in place.items()]
+    return shape, unique, out
 
 
 def met_rows(df: DataFrame, kept: list[str], expected: str, actual: str, fields: str) -> DataFrame:
@@ -300,26 +318,44 @@ def met_rows(df: DataFrame, kept: list[str], expected: str, actual: str, fields:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places, held = [], [], 0
+            rows, members, held = ([], [], [], [], [], [], [0]), ([], [], [], []), 0
 
             def flush() -> pa.RecordBatch:
-                members = [m for r in rows for m in r[5]]  # noqa: B023
-                of = [pa.array([m[n] for m in members], field.type) for n, field in enumerate(MEMBER)]
-                ends = pa.array(np.cumsum([0, *[len(r[5]) for r in rows]]), pa.int32())  # noqa: B023
+                places, *own, ends = rows
                 columns = [batch.column(k).take(pa.array(places, pa.int64())) for k in kept]  # noqa: B023
-                columns += [pa.array([r[n] for r in rows], field.type) for n, field in enumerate(list(MET)[:5])]  # noqa: B023
-                columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(of, fields=list(MEMBER))))
+                columns += [pa.array(c, field.type) for c, field in zip(own, MET, strict=False)]
+                of = [pa.array(c, field.type) for c, field in zip(members, MEMBER, strict=True)]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(of, fields=list(MEMBER))))
+                for c in (*rows, *members):
+                    c.clear()
+                ends.append(0)
                 return pa.RecordBatch.from_arrays(columns, [*kept, *MET.names])
 
+            def add(*row) -> int:
+                for c, v in zip(rows, (*row, len(members[0])), strict=True):
+                    c.append(v)
+                return ROW
+
+            given = [batch.column(c) for c in (expected, actual, fields)]
             for i in range(len(batch)):
-                for r in _pairs(batch.column(expected)[i].as_py(), batch.column(actual)[i].as_py(), batch.column(fields)[i].as_py() or []):
-                    rows.append(r)
-                    places.append(i)
-                    held += ROW + sum(ROW + len(p) + len(e or "") + len(a or "") for p, e, a, _ in r[5])
+                e, a, names = (c[i].as_py() for c in given)
+                shape, unique, pairs = _pairs(e, a, names or [])
+                if shape not in ("array", "single"):
+                    for c, v in zip(members, ("", e, a, False), strict=True):
+                        c.append(v)
+                    held += len(e or "") + len(a or "")
+                held += add(i, shape, unique, None, None, None)
+                for at, e_pos, a_pos, e, a in pairs:
+                    held += _meet(e, a, members)
+                    held += add(i, shape, unique, at, e_pos, a_pos)
                     if held >= PIECE:
                         yield flush()
-                        rows, places, held = [], [], 0
-            yield flush()
+                        held = 0
+                if held >= PIECE:
+                    yield flush()
+                    held = 0
+            if rows[0]:
+                yield flush()
 
     member = "struct<path:string,expected:string,actual:string,objects:boolean>"
     return df.mapInArrow(run, f"{_fields(df, kept)}, shape string, unique boolean, at string, expected_pos int, actual_pos int, members array<{member}>")

@@ -115,7 +115,11 @@ def differences(rows: DataFrame) -> DataFrame:
         note(F.col("shape") == "type", "type", text("expected"), text("actual")),
         note(_fell_back(), "identity", F.lit("records with unique identity fields"), F.lit("missing or duplicate identity")),
     )
-    notes = rows.filter("at is null").select(*KEY, F.explode(F.filter(whole, lambda x: x.isNotNull())).alias("d")).select(*KEY, "d.*")
+    kind_of = F.when(F.col("actual_pos").isNull(), F.lit("missing_record")).when(F.col("expected_pos").isNull(), F.lit("extra_record"))
+    lost = F.array(F.struct(_shown(F.col("at"), F.lit("")).alias("path"), kind_of.alias("kind"), text("expected").alias("expected"), text("actual").alias("actual")))
+    fields = F.transform("found", lambda d: F.struct(_shown(F.col("at"), d["path"]).alias("path"), d["kind"].alias("kind"), d["expected"].alias("expected"), d["actual"].alias("actual")))
+    each = F.when(F.col("at").isNull(), F.filter(whole, lambda x: x.isNotNull())).when(kind_of.isNotNull(), lost).otherwise(fields)
+    notes = rows.select(*KEY, F.explode(each).alias("d")).select(*KEY, "d.*")
 
     # the records' names, of samples alone where one is elsewhere
     named = rows.filter("unique and at is not null")
@@ -125,12 +129,7 @@ def differences(rows: DataFrame) -> DataFrame:
     order = named.select(*KEY, "at", "expected_pos", "actual_pos").join(moved, KEY, "left_semi").groupBy(*KEY).agg(names("expected"), names("actual"))
     order = order.select(*KEY, F.lit("$").alias("path"), F.lit("order").alias("kind"), "expected", "actual")
 
-    records = rows.filter("at is not null")
-    kind_of = F.when(F.col("actual_pos").isNull(), F.lit("missing_record")).when(F.col("expected_pos").isNull(), F.lit("extra_record"))
-    lost = records.select(*KEY, _shown(F.col("at"), F.lit("")).alias("path"), kind_of.alias("kind"), text("expected").alias("expected"), text("actual").alias("actual"))
-    fields = records.select(*KEY, "at", F.explode("found").alias("d"))
-    fields = fields.select(*KEY, _shown(F.col("at"), F.col("d.path")).alias("path"), "d.kind", "d.expected", "d.actual")
-    return notes.unionByName(order).unionByName(lost.filter("kind is not null")).unionByName(fields)
+    return notes.unionByName(order)
 
 
 def score(samples: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ from textloom.operators.chunk import chunk_texts, halves, pack, records
 from textloom.operators.metrics import quality_summary
 from textloom.operators.order import numbered
 from textloom.operators.schema import fields_schema, prepare
-from textloom.operators.score import COUNTS, compared, differences, scores
+from textloom.operators.score import COUNTS, compared, differences, score, scores
 from textloom.operators.validate import array_violations, validate
 from textloom.plans.engine import Engine, extract_each, extract_groups
 from textloom.plans.extractors import JsonExtractor, RuleExtractor, rule_table, typed
@@ -566,7 +566,7 @@ def score_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(p_partkey AS VARCHAR) AS case_id, unnest(kinds) AS kind FROM ({CASES_SQL})""")
 def score_difference_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1, Q2, Q4, Q7, Q9: the differences of the same samples."""
-    return differences(compared(_case_samples(spark, sf_dir))).select("case_id", "kind")
+    return score(_case_samples(spark, sf_dir))[1].select("case_id", "kind")
 
 
 # --- failures and splits -------------------------------------------------------------------------

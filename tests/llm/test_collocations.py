@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 from math import floor
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from textloom.llm.collocations import collocations
+from textloom.llm.collocations import _packed, _steps, _sums, _unpacked, collocations
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -76,3 +78,29 @@ def test_shorter_phrases_and_no_documents(spark, given, empty):
 
 def test_odd_rows(spark, odd, odd_rows):
     assert rows_of(collocations(odd, min_count=2)) == plain([(lang, t) for _, t, lang, _ in odd_rows], 2)
+
+
+def test_numbers_in_few_bytes():
+    """Packed and unpacked again: empty rows, none at all, the largest numbers, a slice of the rows."""
+    values, ends = np.array([0, 5, 5, 127, 128, 1 << 31, (1 << 62) + 3]), np.array([0, 3, 3, 7, 7])
+    packed = _packed(_steps(values, ends), ends)
+    found, to = _unpacked(pa.chunked_array([packed]))
+    assert _sums(found, to).tolist() == values.tolist() and to.tolist() == ends.tolist()
+    found, to = _unpacked(pa.chunked_array([packed.slice(2)]))
+    assert _sums(found, to).tolist() == values[3:].tolist() and to.tolist() == [0, 4, 4]
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in _unpacked(pa.chunked_array([_packed(none, none)]))] == [0, 0]
+
+
+def test_shuffles_no_row_for_each_phrase_of_a_block(spark):
+    """Many pairs that are frequent, but rare in a block: what is shuffled is less than the text."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(200)]
+    rows = [("en", " ".join(rng.choice(words) for _ in range(200))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    before = sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+    assert rows_of(collocations(df, min_count=2, longest=3, top=5, block=100_000)) == plain(rows, 2, longest=3, top=5)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    shuffled = sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size())) - before
+    assert shuffled < 1.5 * sum(len(t) for _, t in rows)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from textloom.queries import ORACLES, QUERIES
+from textloom.queries import ORACLES, QUERIES, _case_samples
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,3 +47,7 @@ def test_scans_read_only_what_they_need(spark):
     plan = QUERIES["rule_extract_customer"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_mktsegment:string>" in plan
     assert "Exchange" not in QUERIES["pack_chunks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_of_a_small_file_are_made_by_many_tasks(spark):
+    assert _case_samples(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

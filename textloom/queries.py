@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.json import last_key_wins, strict_json
-from textloom.functions.storage import materialize
+from textloom.functions.storage import materialize, spread
 from textloom.functions.text import human_size, n_bytes, ratio, split_literal, trim_space
 from textloom.model import Config, Request, byte_budget
 from textloom.operators.chunk import chunk_texts, halves, pack, records
@@ -527,7 +527,8 @@ CASES_SQL = """
 
 def _case_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample for every part, of one of ten kinds."""
-    p = table(spark, sf_dir, "part")
+    # a few bytes a row, which Spark reads in few tasks, become much work
+    p = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     k = F.col("p_partkey").cast("string")
     text = lambda form: F.replace(F.lit(form), F.lit("#"), k)
     forms = [

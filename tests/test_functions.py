@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import json as json_functions
 from textloom.functions.json import _canonical as canonical
+from textloom.functions.json import _dump
 from textloom.functions.json import add_canonical, last_key_wins, opened_rows, strict_json
 from textloom.functions.text import decode_delimiter, encode_delimiter, human_size, ratio, split_literal, trim_space
 
@@ -107,3 +109,20 @@ def test_opened_rows(spark):
     assert got == {(i, 0, *r, None) for i, *r in single} | arrays
     assert {(r["i"], r["value"]) for r in rows if r["pos"] == -1} == {(1, "other"), (4, "other"), (5, "array"), (6, "array")}
     assert {r["value"] for r in rows if shown(r["path"]) in ("/a/x", "/a/y")} == {"1", '[{"z":2}]'}
+
+
+def test_short_ways_write_the_same(monkeypatch):
+    values = [5.5, -0.25, 1e-4, 0.00012, 1e-5, 123456.789, 9999999999999998.5, 1.5e300, True, False, None, 7, -7, "", "a b?", *map(chr, range(0x100)), "é\u2028", 'q"\\']
+    for v in values:
+        text = json_functions._encoder.encode(v).translate(json_functions.ESCAPED)
+        assert _dump(v) == (text if "e-" not in text else json_functions._small.sub(json_functions._small_number, text))
+    calls = []
+    monkeypatch.setattr(json_functions, "_dump", lambda v: calls.append(v) or _dump(v))
+    same = {"a": 1, "b": "x y?", "c": True, "d": [1, True]}
+    out = ([], [], [], [])
+    json_functions._meet(same | {"e": 1}, same | {"e": True}, out)
+    assert dict(zip(out[0], zip(out[1], out[2], strict=True), strict=True)) == {
+        "": (None, None), **{json_functions.STEP + k: (v, v) for k, v in {"a": "1", "b": '"x y?"', "c": "true", "d": "[1,true]"}.items()}, json_functions.STEP + "e": ("1", "true"),
+    }
+    # of equal numbers and texts one is written
+    assert len(calls) == 2 + 2 * 3

@@ -113,6 +113,8 @@ def _load(text: str):
 #: A string, or a number that is written with a negative power of ten.
 _small = re.compile(r'"(?:[^"\\]|\\.)*"|(-?[0-9.]+e-[0-9]+)')
 _lone = re.compile("[\ud800-\udfff]")
+#: ASCII that is written as it is.
+_plain = re.compile(r"[ !#-%'-;=?-\[\]-~]*").fullmatch
 #: Characters that are written as escapes.
 ESCAPED = {ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}
 
@@ -133,10 +135,13 @@ _encoder = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=
 def _dump(value) -> str:
     """Sorted keys and no blanks; whole doubles as whole numbers; half of a surrogate pair is U+FFFD."""
     # most values are one of these, and need no more
-    if type(value) is int:
+    of = type(value)
+    if of is int:
         return str(value)
-    if type(value) is str and value.isascii() and value.isalnum():
+    if of is str and _plain(value):
         return f'"{value}"'
+    if of is float and 1e-4 <= abs(value) < 1e16:
+        return repr(value)
     text = _encoder.encode(value).translate(ESCAPED)
     if "e-" in text:
         text = _small.sub(_small_number, text)
@@ -251,34 +256,43 @@ def _meet(expected, actual, out: tuple[list, list, list, list]) -> int:
     """Append the members of two values to the columns of MEMBER, and tell how much that is; those below a value that isn't an object on both sides are left out."""
     paths, expecteds, actuals, objects = out
     left, size = [("", expected, actual)], 0
-    while left:
-        path, e, a = left.pop()
-        both = isinstance(e, dict) and isinstance(a, dict)
+    # it grows while it is gone through
+    for path, e, a in left:
+        both = type(e) is dict and type(a) is dict
         of_e = of_a = None
         if both:
             below = path + STEP
             left += [(below + k, v, a.get(k, NOTHING)) for k, v in e.items()]
-            left += [(below + k, NOTHING, a[k]) for k in a.keys() - e.keys()]
+            if e.keys() != a.keys():
+                left += [(below + k, NOTHING, a[k]) for k in a.keys() - e.keys()]
+            size += ROW + len(path)
+        elif a is NOTHING:
+            of_e = _dump(e)
+            size += ROW + len(path) + len(of_e)
+        elif e is NOTHING:
+            of_a = _dump(a)
+            size += ROW + len(path) + len(of_a)
         else:
-            if e is not NOTHING:
-                of_e = _dump(e)
-                size += len(of_e)
-            if a is not NOTHING:
-                of_a = _dump(a)
-                size += len(of_a)
+            of_e = _dump(e)
+            # most members are as expected; true is no 1, and what is in arrays may be either
+            of_a = of_e if (type(e) is str or type(e) is int) and type(e) is type(a) and e == a else _dump(a)
+            size += ROW + len(path) + len(of_e) + len(of_a)
         paths.append(path if path.isascii() else _lone.sub("\ufffd", path))
         expecteds.append(of_e)
         actuals.append(of_a)
         objects.append(both)
-        size += ROW + len(path)
     return size
 
 
 def _identities(records: list, fields: list[str]) -> list[str] | None:
     """The tuple of `fields` of each record; none unless each record has one of its own."""
-    if not all(isinstance(r, dict) and all(f in r for f in fields) for r in records):
+    try:
+        of_each = [[r[f] for f in fields] for r in records if type(r) is dict]
+    except KeyError:
         return None
-    out = [f"[{','.join([_dump(r[f]) for f in fields])}]" for r in records]
+    if len(of_each) < len(records):
+        return None
+    out = [f"[{','.join(map(_dump, values))}]" for values in of_each]
     return out if len(set(out)) == len(out) else None
 
 
@@ -318,24 +332,18 @@ def met_rows(df: DataFrame, kept: list[str], expected: str, actual: str, fields:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, members, held = ([], [], [], [], [], [], [0]), ([], [], [], []), 0
+            rows, members, held = [], ([], [], [], []), 0
 
             def flush() -> pa.RecordBatch:
-                places, *own, ends = rows
+                places, *own, ends = zip(*rows, strict=True)  # noqa: B023
                 columns = [batch.column(k).take(pa.array(places, pa.int64())) for k in kept]  # noqa: B023
                 columns += [pa.array(c, field.type) for c, field in zip(own, MET, strict=False)]
                 of = [pa.array(c, field.type) for c, field in zip(members, MEMBER, strict=True)]
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(of, fields=list(MEMBER))))
-                for c in (*rows, *members):
+                columns.append(pa.ListArray.from_arrays(pa.array((0, *ends), pa.int32()), pa.StructArray.from_arrays(of, fields=list(MEMBER))))
+                for c in (rows, *members):  # noqa: B023
                     c.clear()
-                ends.append(0)
                 return pa.RecordBatch.from_arrays(columns, [*kept, *MET.names])
 
-            def add(*row) -> int:
-                for c, v in zip(rows, (*row, len(members[0])), strict=True):
-                    c.append(v)
-                return ROW
-
             given = [batch.column(c) for c in (expected, actual, fields)]
             for i in range(len(batch)):
                 e, a, names = (c[i].as_py() for c in given)
@@ -344,17 +352,18 @@ def met_rows(df: DataFrame, kept: list[str], expected: str, actual: str, fields:
                     for c, v in zip(members, ("", e, a, False), strict=True):
                         c.append(v)
                     held += len(e or "") + len(a or "")
-                held += add(i, shape, unique, None, None, None)
+                rows.append((i, shape, unique, None, None, None, len(members[0])))
+                held += ROW
                 for at, e_pos, a_pos, e, a in pairs:
-                    held += _meet(e, a, members)
-                    held += add(i, shape, unique, at, e_pos, a_pos)
+                    held += _meet(e, a, members) + ROW
+                    rows.append((i, shape, unique, at, e_pos, a_pos, len(members[0])))
                     if held >= PIECE:
                         yield flush()
                         held = 0
                 if held >= PIECE:
                     yield flush()
                     held = 0
-            if rows[0]:
+            if rows:
                 yield flush()
 
     member = "struct<path:string,expected:string,actual:string,objects:boolean>"
